@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, pii
+from . import bpe, langid, minhash, packing, pii, toxicity
 from .common import id_crc, table
 
 
@@ -18,6 +18,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), id_crc() % 5
+    learned = toxicity.learn(docs, table(spark, sf_dir, "labels"), use=fold != 0)
+    return toxicity.score(docs, learned, carry=[(fold == 0).alias("held_out")])
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,5 +39,5 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii, op4_best_fit_packing, op5_language_id, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii, op3_toxicity, op4_best_fit_packing, op5_language_id, op6_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
