@@ -15,7 +15,9 @@ than id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,14 @@ from .common import Scratch, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words remembered by a worker; a full memo starts anew.
-MEMO = 300_000
+MEMO = 500_000
+#: Texts tokenized together.
+TEXTS = 500
+
+#: Words of letters and signs below U+0100, without apostrophes or other white space, fall apart as here.
+_PLAIN = re.compile(r"[!-&(-~\xA1-\xFF]+").fullmatch
+_ONE = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]").fullmatch
+_PARTS = re.compile(r"[A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[0-9\xB2\xB3\xB9\xBC-\xBE]|[^A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF0-9\xB2\xB3\xB9\xBC-\xBE]+")
 
 
 class CapacityTree:
@@ -99,30 +108,78 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 class WordTokenizer:
-    """ids() of a text by a tokenizers file, remembering words. White space only parts
-    tokens in this vocabulary, so a text's ids are those of its words one after another;
-    a text for which that is not sure is encoded as a whole."""
+    """Ids of texts by a tokenizers file whose pre-tokens are words, single digits and runs
+    of other signs, white space parting them. Words are remembered; new pre-tokens are
+    encoded many at a time, told apart by the mark on each one's last token. What is not
+    sure to part this way is encoded by itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        memo = self.memo
-        for word in text.replace("\n", " ").split(" "):
-            got = memo.get(word)
-            if got is None:
-                got = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-                if len(word) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = got
-            out += got
-        return out
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.tokens) >= MEMO:
+            self.tokens.clear()
+        tokens, split, todo = self.tokens, [], []
+        for w in words:
+            # other scripts' letters and marks, and apostrophes, may join or change; those words stay whole
+            parts = _PARTS.findall(w) if _PLAIN(w) else [w]
+            split.append(parts)
+            for p in parts:
+                if p not in tokens:
+                    tokens[p] = b""
+                    if parts[0] is w and not _ONE(w):
+                        tokens[p] = self._encode(p).tobytes()
+                    else:
+                        todo.append(p)
+        for k in range(0, len(todo), 1000):
+            some = todo[k : k + 1000]
+            ids = self._encode(" ".join(some))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                for p, part in zip(some, np.split(ids, stops[:-1])):
+                    tokens[p] = part.tobytes()
+            else:
+                for p in some:
+                    tokens[p] = self._encode(p).tobytes()
+        for w, parts in zip(words, split):
+            self.words[w] = tokens[parts[0]] if len(parts) == 1 else b"".join([tokens[p] for p in parts])
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers."""
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        cut, new, known = [], {}, self.words
+        for text in texts:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # for these letters the same as the tokenizer's own lowering
+            except UnicodeEncodeError:
+                pass
+            parts = text.replace("\n", " ").split(" ")
+            cut.append(parts)
+            for p in parts:
+                if p not in known:
+                    new[p] = None
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer, kept from task to task."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,11 +187,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     length within the task `chunk` that made them. Write it before using it twice."""
 
     def run(batches):
-        words, seen, chunk = WordTokenizer(tokenizer), {}, TaskContext.get().partitionId()
+        words, seen, chunk = word_tokenizer(tokenizer), {}, TaskContext.get().partitionId()
+        last = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array(words.ids(text.as_py()) + [end_id], "<u4").tobytes()
+            rows, ids_of = [], []
+            for k in range(0, batch.num_rows, TEXTS):
+                ids_of += words.encode_batch(batch.column(1).slice(k, TEXTS).to_pylist())
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of):
+                ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
