@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +57,16 @@ def id_crc(col: str = "doc_id") -> Column:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text_col: str = "text") -> DataFrame:
+    """The rows whose text a decider keeps, all columns as they were; null texts count as
+    empty. `make` is called once in a task."""
+
+    def run(batches):
+        decide = make()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            yield batch.filter(pa.array([decide(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import keep_rows, text_or_empty
 
 #: N-grams in a language's profile, and in a document's.
 PROFILE, TOP = 500, 300
+#: A text further than this from every profile is in no language that is known.
+LEAST = 0.25
 #: Code points scanned at once; a longer text is counted in such stretches.
 STRETCH = 1 << 20
 
@@ -139,3 +141,19 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return shape.mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows in a known language; all rows where no language is known at all."""
+    langs, keys, ranks = model
+    if not langs:
+        return docs
+
+    def make():
+        def decide(text: str) -> bool:
+            lang, score = rank_text(text, langs, keys, ranks, TOP, PROFILE)
+            return lang != "und" and score >= least
+
+        return decide
+
+    return keep_rows(docs, make, text_col)

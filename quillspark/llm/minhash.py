@@ -197,3 +197,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     linked = sigs.where("fp is not null").join(by_class, "fp").select("doc", "n", "component_id")
     out = linked.unionByName(sigs.where("fp is null").select("doc", "n", F.col("doc").alias("component_id")))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they were; texts without
+    words all stay. Where ids are null or repeated, rows are numbered and told apart by that."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.cut(near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col), "near")
+    c = found.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids"), F.count_distinct(id_col).alias("distinct")).first()
+    if c["n"] == c["ids"] == c["distinct"]:
+        return docs.join(found.where("kept").select(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    numbered = scratch.cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, words, percent, id_col="__row", text_col=text_col)
+    return numbered.join(found.where("kept").select("__row"), "__row", "left_semi").select(*docs.columns)

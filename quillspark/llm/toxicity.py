@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, keep_rows, text_or_empty
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 SAMPLE, FEATURES = 20_000, 4096
@@ -240,6 +240,40 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     return model, {f: float(w[i]) for f, i in pick.items()}, float(bias)
 
 
+class Scorer:
+    """Scores of texts, with the restored words of a worker remembered."""
+
+    def __init__(self, model: np.ndarray, weights: dict[str, float], bias: float):
+        self.channel, self.weights, self.bias = Channel(model), weights, bias
+        self.hits: dict[str, tuple[str, ...]] = {}
+
+    def score(self, text: str) -> float:
+        if not self.weights:
+            return 0.0
+        found: set[str] = set()
+        hits, weights = self.hits, self.weights
+        for w in self.channel.words(text):
+            got = hits.get(w)
+            if got is None:
+                if len(hits) >= MEMO:
+                    hits.clear()
+                got = hits[w] = tuple(f for f in features(w) if f in weights)
+            if got:
+                found.update(got)
+        z = self.bias + sum(weights[f] for f in sorted(found))
+        return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
+
+
+def keep_clean(docs: DataFrame, learned, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores below the threshold."""
+
+    def make():
+        scorer = Scorer(*learned)
+        return lambda text: scorer.score(text) < threshold
+
+    return keep_rows(docs, make, text_col)
+
+
 def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
     """(id, score, predicted), with the columns in `carry`."""
     model, weights, bias = learned
@@ -247,21 +281,9 @@ def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "tex
     kept = [f for f in shape.schema.fields if f.name != "__text"]
 
     def run(batches):
-        channel, hits = Channel(model), {}
+        scorer = Scorer(model, weights, bias)
         for batch in batches:
-            scores = []
-            for text in batch.column("__text"):
-                found: set[str] = set()
-                for w in channel.words(text.as_py()):
-                    got = hits.get(w)
-                    if got is None:
-                        if len(hits) >= MEMO:
-                            hits.clear()
-                        got = hits[w] = tuple(f for f in features(w) if f in weights)
-                    if got:
-                        found.update(got)
-                z = bias + sum(weights[f] for f in sorted(found))
-                scores.append(1 / (1 + math.exp(-min(40.0, max(-40.0, z)))) if weights else 0.0)
+            scores = [scorer.score(t.as_py()) for t in batch.column("__text")]
             cols = [batch.column(f.name) for f in kept] + [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in kept] + ["score", "predicted"])
 
