@@ -36,6 +36,8 @@ CIRCLE = 1 << 20
 MISS = 1e-6
 #: Distinct words whose hashes a worker remembers; a full memo starts anew.
 MEMO = 300_000
+#: Rounds of random leaders at most, pairs a row that are few enough to go on to the end, bits of a hash class.
+LEADERS, FEW, RARITY = 6, 2, 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -154,6 +156,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), shared.alias("i")).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+
+
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, fp, n, root) of the buckets that reach over more than one component."""
+    r = buckets.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    mixed = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("key")
+    return r.join(mixed, "key")
+
+
+def _pairs_left(open_: DataFrame) -> int:
+    c = open_.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return int(c.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _rare_ends(sets: DataFrame, percent: int) -> DataFrame:
+    """(fp, ends): of each set the shingles that come first by how often their hash class
+    occurs, so many that two linked sets must share one of them (prefix filtering)."""
+
+    def count(batches):
+        total = np.zeros(1 << RARITY, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - RARITY), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    often = np.zeros(1 << RARITY, np.int64)
+    for r in sets.select("s").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 2^RARITY rows at most
+        often[r["at"]] = r["n"]
+
+    def pick(batches):
+        for batch in batches:
+            out = []
+            for s in batch.column(1):
+                s = s.values.to_numpy()
+                n = len(s)
+                k = n - -(-n * percent // 100) + 1
+                out.append(s[np.lexsort((s, often[s.view(np.uint64) >> np.uint64(64 - RARITY)]))[:k]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["fp", "ends"])
+
+    return sets.select("fp", "s").mapInArrow(pick, "fp binary, ends array<bigint>")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
@@ -172,23 +218,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     links = scratch.cut(_confirmed(first, sets, percent), "links")
     roots = scratch.cut(components(links, scratch), "roots")
 
-    # What the leaders leave open: members of one bucket in different components.
-    def rooted(df: DataFrame) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-
-    r = rooted(buckets)
-    mixed = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("key")
-    open_ = scratch.cut(r.join(mixed, "key"), "open")
-    x = open_.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, (x["key"] == y["key"]) & (x["a"] > y["b"]) & (x["ra"] != y["rb"]) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more = scratch.cut(_confirmed(rest.join(first, ["a", "b"], "left_anti"), sets, percent), "links")
-    scratch.drop(sets)
+    # What the leaders leave open: members of one bucket in different components. Further
+    # leaders, drawn at random, join what belongs together while that still shortens the list.
+    open_ = scratch.cut(_open(buckets, roots), "open")
     scratch.drop(buckets)
-    scratch.drop(open_)
+    for turn in range(1, LEADERS + 1):
+        if _pairs_left(open_) <= FEW * open_.count():
+            break
+        drawn = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))).alias("l")).select("key", "l.*")
+        asked = open_.join(drawn, "key").where((F.col("root") != F.col("leader_root")) & fits(F.col("n"), F.col("leader_n")))
+        links = scratch.cut(_confirmed(asked.select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent), "links")
+        if links.isEmpty():
+            break
+        roots = scratch.cut(components(_stars(roots).union(links), scratch), "roots")
+        open_, old = scratch.cut(_open(open_.drop("root"), roots), "open"), open_
+        scratch.drop(old)
+    # The rest is compared where the rare ends of both sets meet, as those of any linked pair do.
+    ends = scratch.cut(_rare_ends(sets.join(open_.select("fp").distinct(), "fp", "left_semi"), percent), "ends")
+    rare = open_.join(ends, "fp")
+    x = rare.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("ends").alias("ea"))
+    y = rare.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("ends").alias("eb"))
+    rest = x.join(y, (x["key"] == y["key"]) & (x["a"] > y["b"]) & (x["ra"] != y["rb"]) & fits(F.col("na"), F.col("nb")) & F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
+    more = scratch.cut(_confirmed(rest, sets, percent), "links")
+    for used in (sets, open_, ends):
+        scratch.drop(used)
     if not more.isEmpty():
-        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-        roots = components(stars.union(more), scratch)
+        roots = scratch.cut(components(_stars(roots).union(more), scratch), "roots")
 
     own = sigs.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("least"))
     joined = own.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
