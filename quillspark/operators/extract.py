@@ -250,18 +250,26 @@ def extract(docs: DataFrame, method: str) -> DataFrame:
     return d.select("doc_id", F.lit(method).alias("method_id"), F.posexplode(units).alias("p", "u")).select("doc_id", "method_id", (F.col("p") + 1).alias("unit_ord"), *[F.col(f"u.{k}").alias(k) for k in FIELDS if k != "n"])
 
 
-def extraction_texts(docs: DataFrame, method: str) -> DataFrame:
-    """(doc_id, method_id, method_name, text, unit_count, character_count, tables_detected)."""
-    name, make = get_extractor(method)
+def extracted(docs: DataFrame, method: str) -> DataFrame:
+    """(doc_id, text, units): a method's result text and its units, one row per document."""
+    _, make = get_extractor(method)
     d = _ready(docs, method)
-    units = with_context(ordered(make(d)))
-    table_texts = F.transform(F.filter(units, lambda u: u["unit_type"] == "table"), lambda u: u["text"])
+    d = d.withColumn("units", with_context(ordered(make(d))))
+    texts = lambda of: F.transform(of, lambda u: u["text"])
     text = F.col("text")
     if method in ("section_wise", "hierarchical", "layout_aware"):
-        text = strip(F.array_join(F.filter(F.concat(F.array(F.col("plain")), table_texts), lambda x: x != ""), "\n\n"))
+        found = F.filter("units", lambda u: u["unit_type"] == "table")
+        text = strip(F.array_join(F.filter(F.concat(F.array(F.col("plain")), texts(found)), lambda x: x != ""), "\n\n"))
     elif method == "table_aware":
-        text = strip(F.array_join(F.transform(units, lambda u: u["text"]), "\n\n"))
-    return d.select("doc_id", F.lit(method).alias("method_id"), F.lit(name).alias("method_name"), text.alias("text"), F.size(units).alias("unit_count"), F.length(text).alias("character_count"), F.size(table_texts).alias("tables_detected"))
+        text = strip(F.array_join(texts(F.col("units")), "\n\n"))
+    return d.select("doc_id", text.alias("text"), "units")
+
+
+def extraction_texts(docs: DataFrame, method: str) -> DataFrame:
+    """(doc_id, method_id, method_name, text, unit_count, character_count, tables_detected)."""
+    d = extracted(docs, method)
+    found = F.size(F.filter("units", lambda u: u["unit_type"] == "table"))
+    return d.select("doc_id", F.lit(method).alias("method_id"), F.lit(get_extractor(method)[0]).alias("method_name"), "text", F.size("units").alias("unit_count"), F.length("text").alias("character_count"), found.alias("tables_detected"))
 
 
 def hierarchy(units: DataFrame) -> DataFrame:
