@@ -98,8 +98,8 @@ def document_type(name: Column) -> Column:
 def human_size(n: Column) -> Column:
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.format_string("%.1f KB", n / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1f MB", n / F.lit(1048576.0)))
+        .when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / F.lit(1024.0), 1)))
+        .otherwise(F.format_string("%.1f MB", F.bround(n / F.lit(1048576.0), 1)))
     )
 
 

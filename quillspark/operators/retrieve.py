@@ -1,8 +1,8 @@
 """Index and hybrid retrieval: hashing vectors, BM25, lexical overlap and intent, fused and ranked.
 
-An index is a set of chunk rows with their tokens and sparse hashing vectors. Questions are
-a DataFrame; document frequencies are counted for their terms only, with partial sums. Every
-chunk is scored for every question, as exact search asks; Spark picks the join by size."""
+Questions are a DataFrame. Terms and vector places meet in equi-joins on postings, summed by
+pair; frequencies are counted for the questions' terms only. Every chunk has a score for every
+question, as exact search asks; Spark picks the join of their bare keys by size."""
 
 from __future__ import annotations
 
@@ -44,33 +44,22 @@ def hash_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     return sums.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim", "v")))).alias("vec"), F.sum(F.col("v") * F.col("v")).alias("norm2"))
 
 
-def sparse_cosine(qvec: Column, qnorm2: Column, vec: Column, norm2: Column) -> Column:
-    dot = F.aggregate(F.map_entries(qvec), F.lit(0).cast("bigint"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(vec, e["key"]), F.lit(0)))
-    return F.when((qnorm2 > 0) & (norm2 > 0), dot.cast("double") / (F.sqrt(qnorm2.cast("double")) * F.sqrt(norm2.cast("double")))).otherwise(0.0)
-
-
 def count_in(tokens: Column, term: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t == term))
 
 
 def lexical_similarity(q: Column, t: Column) -> Column:
-    """q and t are token arrays."""
+    """Of two token arrays, for single pairs; `score` works it out from postings."""
     overlap = F.aggregate(F.array_distinct(q), F.lit(0), lambda s, x: s + F.least(count_in(q, x), count_in(t, x)))
     phrase = F.when(F.contains(F.array_join(t, " "), F.array_join(q, " ")), 0.35).otherwise(0.0)
     title = F.when(F.startswith(F.array_join(t, " "), q[0]), 0.15).otherwise(0.0)
     return F.when((F.size(q) == 0) | (F.size(t) == 0), 0.0).otherwise(F.least(F.lit(1.0), overlap.cast("double") / F.size(q) + phrase + title))
 
 
-def bm25(terms: Column, t: Column, n: Column, avg_len: Column) -> Column:
-    """terms: array<struct<term, df>> of a question's distinct terms; n and avg_len are doubles."""
-    ratio = F.size(t).cast("double") / F.greatest(F.lit(1.0), avg_len)
-
-    def add(s: Column, x: Column) -> Column:
-        df = x["df"].cast("double")
-        idf = F.log(1.0 + ((n - df + 0.5) / (df + 0.5)))
-        return s + let(count_in(t, x["term"]).cast("double"), lambda tf: F.when(tf == 0, 0.0).otherwise(idf * ((tf * (K1 + 1)) / (tf + K1 * (1 - B + B * ratio)))))
-
-    return let(F.aggregate(terms, F.lit(0.0), add), lambda s: F.when(s > 0, s / (s + 3.0)).otherwise(0.0))
+def bm25_part(tf: Column, df: Column, doc_len: Column, n: Column, avg_len: Column) -> Column:
+    """One term's share of a chunk's BM25 score; all are doubles."""
+    idf = F.log(1.0 + ((n - df + 0.5) / (df + 0.5)))
+    return idf * ((tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (doc_len / F.greatest(F.lit(1.0), avg_len)))))
 
 
 def acronyms(question: Column) -> Column:
@@ -91,28 +80,9 @@ def acronym_boost(question: Column, text: Column) -> Column:
     return F.when(question.rlike(ASKS_ACRONYM), let(acronyms(question), boost)).otherwise(0.0)
 
 
-def definition_boost(question: Column, t: Column) -> Column:
-    def boost(s: Column) -> Column:
-        distinct = F.array_distinct(s)
-        share = F.size(F.array_intersect(distinct, t)).cast("double") / F.greatest(F.lit(1), F.size(distinct))
-        return F.when(F.size(s) == 0, 0.0).when(F.contains(F.array_join(t, " "), F.array_join(s, " ")), 0.5).when(share >= 0.75, 0.25).otherwise(0.0)
-
-    return let(tokenize(F.regexp_extract(question, ASKS_DEFINITION, 1)), boost)
-
-
-def proximity_boost(q: Column, t: Column) -> Column:
-    def boost(at: Column) -> Column:
-        n = F.size(at).cast("double")
-        coverage = n / F.greatest(F.lit(1), F.size(F.array_distinct(q)))
-        window = (F.array_max(at) - F.array_min(at) + 1).cast("double")
-        return F.when(coverage < 0.5, 0.0).otherwise(F.least(F.lit(0.4), coverage * (n / window)))
-
-    first = F.filter(F.transform(F.array_distinct(q), lambda x: F.array_position(t, x)), lambda p: p > 0)
-    return F.when((F.size(q) < 2) | (F.size(t) == 0), 0.0).otherwise(let(first, lambda at: F.when(F.size(at) == 0, 0.0).otherwise(boost(at))))
-
-
-def intent_boost(question: Column, q: Column, text: Column, t: Column) -> Column:
-    return F.least(F.lit(0.35), acronym_boost(question, text) + definition_boost(question, t) + proximity_boost(q, t))
+def definition_terms(question: Column) -> Column:
+    """Tokens of what a question asks to define; empty if it asks for none."""
+    return tokenize(F.regexp_extract(question, ASKS_DEFINITION, 1))
 
 
 def retrieval_chunks(chunks: DataFrame, by: list[str]) -> DataFrame:
@@ -123,38 +93,72 @@ def retrieval_chunks(chunks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_key", text: str = "text", order: str | None = None) -> DataFrame:
-    """(key, ord, text, tokens, vec, norm2) of the chunks that have text."""
-    rows = chunks.where(~is_blank(F.col(text))).select(F.col(key).alias("key"), F.col(order or key).alias("ord"), F.col(text).alias("text"))
-    return rows.withColumn("tokens", tokenize(F.col("text"))).join(hash_vectors(rows, "key", "text"), "key", "left").select("key", "ord", "text", "tokens", "vec", F.coalesce("norm2", F.lit(0)).alias("norm2"))
+    """(key, ord, text, tokens) of the chunks that have text."""
+    rows = chunks.where(~is_blank(F.col(text)))
+    return rows.select(F.col(key).alias("key"), F.col(order or key).alias("ord"), F.col(text).alias("text"), tokenize(F.col(text)).alias("tokens"))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(key, term, tf, first, doc_len): a term's count and first place in a chunk."""
+    flat = index.select("key", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("p", "term"))
+    return flat.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("p").alias("first"), F.first("doc_len").alias("doc_len"))
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    return index.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avg_len"))
+
+
+def vector_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, key, vector): cosines of hashing vectors that share a place."""
+    dims = lambda v, key, *more: v.select(key, *more, F.explode("vec").alias("dim", "v"))
+    a = dims(hash_vectors(questions, "query_id", "question").withColumnRenamed("norm2", "qn"), "query_id", "qn").withColumnRenamed("v", "qv")
+    b = dims(hash_vectors(index, "key", "text"), "key", "norm2")
+    dot = b.join(a, "dim").groupBy("query_id", "key").agg(F.sum(F.col("qv") * F.col("v")).alias("dot"), F.first("qn").alias("qn"), F.first("norm2").alias("norm2"))
+    return dot.select("query_id", "key", (F.col("dot").cast("double") / (F.sqrt(F.col("qn").cast("double")) * F.sqrt(F.col("norm2").cast("double")))).alias("vector"))
 
 
-def prepare_questions(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """Questions with their terms' document frequencies, vectors and the index's size."""
-    q = questions.select("query_id", "question", tokenize(F.col("question")).alias("q"))
-    terms = q.select(F.explode("q").alias("term")).distinct()
-    df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    each = q.select("query_id", F.posexplode(F.array_distinct("q")).alias("p", "term")).join(df, "term", "left")
-    counted = each.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("p", "term", F.coalesce("df", F.lit(0)).alias("df")))).alias("terms"))
-    stats = index.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avg_len"))
-    vectors = hash_vectors(q, "query_id", "question").select("query_id", F.col("vec").alias("qvec"), F.col("norm2").alias("qnorm2"))
-    none = F.expr("cast(array() as array<struct<p:int,term:string,df:bigint>>)")
-    out = q.join(counted, "query_id", "left").join(vectors, "query_id", "left").crossJoin(stats)  # stats is one row
-    return out.withColumn("terms", F.coalesce("terms", none)).withColumn("qnorm2", F.coalesce("qnorm2", F.lit(0)))
+def term_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, key, bm25, overlap, present, lo, hi, subject): what postings say of a question and a chunk."""
+    q = questions.select("query_id", tokenize(F.col("question")).alias("q"), F.array_distinct(definition_terms(F.col("question"))).alias("s"))
+    terms = q.select("query_id", "s", F.explode("q").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"), F.max(F.array_contains("s", F.col("term")).cast("int")).alias("is_subject"))
+    post = postings(index).join(terms.select("term").distinct(), "term", "left_semi")
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = post.join(df, "term").join(terms, "term").crossJoin(index_stats(index))  # one row
+    double = lambda c: F.col(c).cast("double")
+    return met.groupBy("query_id", "key").agg(
+        F.sum(bm25_part(double("tf"), double("df"), double("doc_len"), F.col("n"), F.col("avg_len"))).alias("raw"),
+        F.sum(F.least("tf", "qtf")).alias("overlap"), F.count(F.lit(1)).alias("present"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.sum("is_subject").alias("subject"),
+    ).withColumn("bm25", F.when(F.col("raw") > 0, F.col("raw") / (F.col("raw") + 3.0)).otherwise(0.0)).drop("raw")
 
 
 def score(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """Every question with every chunk: (query_id, key, ord, vector, bm25, lexical, intent, score)."""
-    q, t = F.col("q"), F.col("tokens")
-    pairs = index.crossJoin(prepare_questions(questions, index))
-    signals = pairs.select(
-        "query_id", "key", "ord",
-        sparse_cosine(F.col("qvec"), F.col("qnorm2"), F.col("vec"), F.col("norm2")).alias("vector"),
-        bm25(F.col("terms"), t, F.col("n"), F.col("avg_len")).alias("bm25"),
-        lexical_similarity(q, t).alias("lexical"),
-        intent_boost(F.col("question"), q, F.col("text"), t).alias("intent"),
+    """Every question with every chunk: (query_id, key, ord, vector, bm25, lexical, intent, score).
+    Only pairs that hold all of a question's terms, or meet a question for an acronym, need the text itself."""
+    q = questions.select("query_id", "question", tokenize(F.col("question")).alias("q"), definition_terms(F.col("question")).alias("s"))
+    q = q.select("*", F.size(F.array_distinct("q")).alias("nq"), F.size(F.array_distinct("s")).alias("ns"), F.col("question").rlike(ASKS_ACRONYM).alias("asks"))
+    pairs = index.select("key", "ord", F.get("tokens", F.lit(0)).alias("head"), F.size("tokens").alias("nt")).crossJoin(q)
+    pairs = pairs.join(term_scores(questions, index), ["query_id", "key"], "left").join(vector_scores(questions, index), ["query_id", "key"], "left")
+    pairs = pairs.fillna(0, ["overlap", "present", "subject"]).fillna(0.0, ["bm25", "vector"])
+    full, subject = (F.col("nq") > 0) & (F.col("present") == F.col("nq")), (F.col("ns") > 0) & (F.col("subject") == F.col("ns"))
+    wanted = pairs.where(full | subject | F.col("asks")).select("query_id", "key", "question", "q", "s", full.alias("full"), subject.alias("subj"))
+    joined = F.array_join("tokens", " ")
+    closer = wanted.join(index.select("key", "text", "tokens"), "key").select(
+        "query_id", "key",
+        F.when(F.col("full") & F.contains(joined, F.array_join("q", " ")), 0.35).otherwise(0.0).alias("phrase"),
+        F.when(F.col("subj") & F.contains(joined, F.array_join("s", " ")), 0.5).otherwise(0.0).alias("defined"),
+        acronym_boost(F.col("question"), F.col("text")).alias("acronym"),
     )
-    total = sum((F.lit(w) * F.coalesce(F.col(k), F.lit(0.0)) for k, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["vector"]) * F.coalesce(F.col("vector"), F.lit(0.0)))
-    return signals.withColumn("vector", F.coalesce("vector", F.lit(0.0))).withColumn("score", total)
+    pairs = pairs.join(closer, ["query_id", "key"], "left").fillna(0.0, ["phrase", "defined", "acronym"])
+    some = (F.size("q") > 0) & (F.col("nt") > 0)
+    title = F.when(F.startswith("head", F.get("q", F.lit(0))), 0.15).otherwise(0.0)
+    lexical = F.when(some, F.least(F.lit(1.0), F.col("overlap").cast("double") / F.size("q") + F.col("phrase") + title)).otherwise(0.0)
+    coverage = F.col("present").cast("double") / F.greatest(F.lit(1), F.col("nq"))
+    window = (F.col("hi") - F.col("lo") + 1).cast("double")
+    near = F.when((F.size("q") >= 2) & (F.col("nt") > 0) & (F.col("present") > 0) & (coverage >= 0.5), F.least(F.lit(0.4), coverage * (F.col("present") / window))).otherwise(0.0)
+    about = F.when(F.col("defined") > 0, F.col("defined")).when((F.col("ns") > 0) & (F.col("subject").cast("double") / F.greatest(F.lit(1), F.col("ns")) >= 0.75), 0.25).otherwise(0.0)
+    out = pairs.select("query_id", "key", "ord", "vector", "bm25", lexical.alias("lexical"), F.least(F.lit(0.35), F.col("acronym") + about + near).alias("intent"))
+    total = F.lit(WEIGHTS["vector"]) * F.col("vector") + F.lit(WEIGHTS["bm25"]) * F.col("bm25") + F.lit(WEIGHTS["lexical"]) * F.col("lexical") + F.lit(WEIGHTS["intent"]) * F.col("intent")
+    return out.withColumn("score", total)
 
 
 def top(scored: DataFrame, by: str, k: int) -> DataFrame:
