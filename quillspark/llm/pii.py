@@ -121,19 +121,26 @@ def _loose_kind(m: Column) -> Column:
     )
 
 
+def _two_words(before: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s+$", 1), r"\s+", " "))
+
+
 def _mentions(rows: DataFrame) -> DataFrame:
-    """(rid, start, end, instance, pattern, kind, seed): tokens with a digit or @ after two
-    words. kind is that of the base span that covers the token, or else of its shape."""
-    t = rows.where(F.col("text").rlike("[0-9@]")).select("rid", "base", F.explode(matches(F.col("text"), TOKEN, tail=100)).alias("x"))
-    core = F.regexp_replace(F.regexp_replace(F.col("x.m"), r"^[^\p{L}\p{N}+(]+", ""), r"[^\p{L}\p{N}]+$", "")
-    lead = F.length(F.col("x.m")) - F.length(F.regexp_replace(F.col("x.m"), r"^[^\p{L}\p{N}+(]+", ""))
-    two = F.lower(F.regexp_extract(F.col("x.before"), r"(?:^|\s)(\S+\s+\S+)\s+$", 1))
-    t = t.select("rid", "base", (F.col("x.start") + lead).cast("int").alias("start"), core.alias("instance"), F.regexp_replace(two, r"\s+", " ").alias("pattern"))
-    t = t.where("instance <> '' and pattern <> ''").withColumn("end", (F.col("start") + F.length("instance")).cast("int"))
-    over = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    t = t.withColumn("over", over)
-    seed = F.size("over") > 0
-    return t.select("rid", "start", "end", "instance", "pattern", F.when(seed, F.element_at("over", 1)["kind"]).otherwise(_loose_kind(F.col("instance"))).alias("kind"), seed.alias("seed")).where("kind is not null")
+    """(rid, start, end, instance, pattern, kind, seed): base spans, and other tokens with a
+    digit or @ whose shape could be of some kind, each after two words."""
+    some = rows.where(F.col("text").rlike("[0-9@]"))
+    known = some.select("rid", "text", F.explode("base").alias("s"))
+    before = F.substring("text", F.greatest(F.col("s.start") - 100, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(100)))
+    known = known.select("rid", "s.start", "s.end", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("instance"), _two_words(before).alias("pattern"), "s.kind", F.lit(True).alias("seed"))
+    head = r"^[^\p{L}\p{N}+(]+"
+    t = some.select("rid", "base", F.explode(matches(F.col("text"), TOKEN, tail=100)).alias("x"))
+    rest = F.regexp_replace("x.m", head, "")
+    core = F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", "")
+    start = (F.col("x.start") + F.length("x.m") - F.length(rest)).cast("int")
+    t = t.select("rid", "base", start.alias("start"), (start + F.length(core)).cast("int").alias("end"), core.alias("instance"), _two_words(F.col("x.before")).alias("pattern"))
+    t = t.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    t = t.select("rid", "start", "end", "instance", "pattern", _loose_kind(F.col("instance")).alias("kind"), F.lit(False).alias("seed"))
+    return known.unionByName(t).where("kind is not null and instance <> '' and pattern <> ''")
 
 
 def bootstrap(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
