@@ -68,16 +68,21 @@ def _product(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0), each)
 
 
-def sentence_similarity(question: Column, sentence: Column) -> Column:
-    """Cosine of hashing vectors, for texts as short as a sentence."""
-    def cosine(a: Column, b: Column) -> Column:
-        norm = F.sqrt(_product(a, a).cast("double")) * F.sqrt(_product(b, b).cast("double"))
-        return F.when(norm > 0, _product(a, b).cast("double") / norm).otherwise(0.0)
+def question_vector(question: Column) -> Column:
+    """struct<dims, norm2>: a question's hashing vector, worked out once for all sentences."""
+    return let(hash_dims(all_tokens(question)), lambda a: F.struct(a.alias("dims"), _product(a, a).alias("norm2")))
 
-    return let(hash_dims(all_tokens(question)), lambda a: let(hash_dims(all_tokens(sentence)), lambda b: cosine(a, b)))
 
+def sentence_similarity(vector: Column, sentence: Column) -> Column:
+    """Cosine of hashing vectors, for a text as short as a sentence."""
+    def cosine(b: Column) -> Column:
+        norm = F.sqrt(vector["norm2"].cast("double")) * F.sqrt(_product(b, b).cast("double"))
+        return F.when(norm > 0, _product(b, vector["dims"]).cast("double") / norm).otherwise(0.0)
 
-def best_sentences(question: Column, terms: Column, sentences: Column) -> Column:
+    return let(hash_dims(all_tokens(sentence)), cosine)
+
+
+def best_sentences(vector: Column, terms: Column, sentences: Column) -> Column:
     """The best sentence and a neighbour nearly as good, in the text's order."""
     def scored(s: Column, i: Column) -> Column:
         def build(own: Column, sem: Column) -> Column:
@@ -86,7 +91,7 @@ def best_sentences(question: Column, terms: Column, sentences: Column) -> Column
             total = 0.70 * sem + 0.20 * coverage + 0.10 * (shared / F.greatest(F.lit(1), F.size(own)))
             return F.struct((-total).alias("k"), (-sem).alias("m"), (-coverage).alias("c"), F.length(s).alias("n"), i.alias("i"), s.alias("s"))
 
-        return let(expanded_terms(s), lambda own: let(sentence_similarity(question, s), lambda sem: build(own, sem)))
+        return let(expanded_terms(s), lambda own: let(sentence_similarity(vector, s), lambda sem: build(own, sem)))
 
     def pick(x: Column) -> Column:
         best = x[0]
@@ -150,7 +155,7 @@ def list_items(question: Column, title: Column, text: Column, most: int = 8) ->
     return F.when(asked, F.slice(F.filter(F.transform(splitlines(text), clean_line), keep), 1, most)).otherwise(F.array().cast("array<string>"))
 
 
-def direct_answer(question: Column, terms: Column, title: Column, text: Column, rows: Column) -> Column:
+def direct_answer(question: Column, vector: Column, terms: Column, title: Column, text: Column, rows: Column) -> Column:
     """A directive, a table, its rows, list lines, or the best sentences, whichever there is first."""
     body = answerable_text(text, title)
     named = F.coalesce(strip(title), F.lit(""))
@@ -164,7 +169,7 @@ def direct_answer(question: Column, terms: Column, title: Column, text: Column,
             add = (F.size(s) == 1) & is_heading_only(s[0]) & following.isNotNull() & ~is_heading_only(F.coalesce(following, F.lit("")))
             return F.when(F.size(s) == 0, F.slice(units, 1, 3)).when(add, F.concat(s, F.array(following))).otherwise(s)
 
-        said = strip(F.array_join(let(best_sentences(question, terms, units), more), " "))
+        said = strip(F.array_join(let(best_sentences(vector, terms, units), more), " "))
         return F.concat(F.lit("Answer: "), F.when(named != "", F.concat(named, F.lit(": "))).otherwise(""), said)
 
     joined = lambda items: F.when(F.size(items) > 0, F.concat(F.lit("Answer: "), F.array_join(items, "; ")))
@@ -222,13 +227,13 @@ def answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
     title, section_path, source_unit, page, rows), the context chunk of each hit ->
     (query_id, question, answer, source)."""
     q = F.col("question")
-    h = questions.join(hits, "query_id", "left")
+    h = questions.withColumn("vector", question_vector(q)).join(hits, "query_id", "left")
     support = support_text(F.col("text"), F.col("title"), F.col("rows"))
     h = h.withColumn("support", F.when(F.col("text").isNotNull(), support))
     own = expanded_terms(F.col("support"))
     overlap = F.size(F.array_intersect("anchors", own)).cast("double")
     enough = (F.size("important") == 0) | (~F.col("unseen") & (overlap > 0) & (overlap / F.greatest(F.lit(1), F.size("anchors")) >= 0.5))
-    semantic = F.array_max(F.transform(answer_units(answerable_text(F.col("text"), F.col("title"))), lambda s: sentence_similarity(q, s)))
+    semantic = F.array_max(F.transform(answer_units(answerable_text(F.col("text"), F.col("title"))), lambda s: sentence_similarity(F.col("vector"), s)))
     coverage = overlap / F.greatest(F.lit(1), F.size("anchors"))
     answerable = F.when(semantic.isNull(), 0.0).otherwise(0.65 * semantic + 0.30 * coverage + F.when(F.col("rows").isNotNull(), 0.10).otherwise(0.0))
     h = h.withColumn("supported", enough).withColumn("fit", answerable + 0.10 * F.col("score") + F.when(F.col("supported"), 0.15).otherwise(0.0))
@@ -242,6 +247,6 @@ def answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
         .when(F.col("asks") & (F.col("expansion") != ""), F.concat(F.lit("Answer: "), F.col("expansion"), F.lit("\n\nSource: "), F.col("source")))
         .when(F.col("asks"), F.concat(F.lit(NO_EXPANSION), closest))
         .when(~F.col("supported"), F.concat(F.lit(NO_SUPPORT), closest))
-        .otherwise(F.concat(direct_answer(q, F.col("anchors"), F.col("title"), F.col("text"), F.col("rows")), F.lit("\n\nSource: "), F.col("source")))
+        .otherwise(F.concat(direct_answer(q, F.col("vector"), F.col("anchors"), F.col("title"), F.col("text"), F.col("rows")), F.lit("\n\nSource: "), F.col("source")))
     )
     return best.select("query_id", "question", said.alias("answer"), "source")
