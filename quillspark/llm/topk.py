@@ -10,7 +10,7 @@ whose bound reaches the k-th best proven score is known; those are rescored exac
 Defined results: vectors that are null or empty or hold null or non-finite components
 take no part, nor do rows without an id; vectors of unequal length are padded with
 zeros; ties go to the smaller id; a query is never its own candidate; repeated rows are
-candidates each; columns other than id and vector are ignored, whatever their names.
+candidates each; a score beyond 64 bits is an error; columns other than id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ IMPACTS = (0.35, 0.15, 0.0)
 
 def best_of_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of all that may be among the k best."""
-    wide = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * x.shape[1] >= 2**53
+    wide = max(int(np.abs(q).max(initial=0)), 1) * max(int(np.abs(x).max(initial=0)), 1) * x.shape[1] >= 2**53
     if wide:  # beyond what doubles hold exactly: whole numbers of any size
         s = q.astype(object) @ x.astype(object).T
         return _select(s, qid, xid, k)
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
     qs = rows.where("q").select(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"), F.lit(0).alias("side"), "id", "v")
     xs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nx)).cast("int").alias("xb"), F.lit(1).alias("side"), "id", "v")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         width = int(pdf["v"].map(len).max())
         def matrix(p):

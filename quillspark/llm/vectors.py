@@ -131,7 +131,7 @@ def _linked(spark, scratch: Scratch, classes: DataFrame, n: int, threshold: floa
     left = dealt.where("home = cell").select("label", "cell", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(0).alias("side"), "home", "visited", "cls", "u", "copies")
     right = dealt.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "home", "visited", "cls", "u", "copies")
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         ka, kb = a["cls"].to_numpy(), b["cls"].to_numpy()
         none = pd.DataFrame({"cls": pd.Series([], dtype=str), "other": pd.Series([], dtype=str), "links": pd.Series([], dtype="int64")})

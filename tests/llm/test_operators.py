@@ -292,7 +292,7 @@ def test_near_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(spark.createDataFrame([], EMBEDDINGS)).count() == 0
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e8])
+@pytest.mark.parametrize("scale", [1.0, 1e6])
 def test_top_k_equals_brute_force(spark, scale):
     rng = np.random.RandomState(9)
     x = np.round(rng.randn(300, 8), 1) * scale
