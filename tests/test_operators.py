@@ -63,10 +63,10 @@ def test_whole_text_and_its_table_are_both_chunked(spark):
 
 def test_sections(spark):
     body = "a body line that is long enough here."
-    text = f"front\n# One\n## Two\n{body}\n2.1 Deep Title\n{body}\n# Empty\n\n"
+    text = f"front\n# One\n## Two\n{body}\n2.1 Deep Title\n{body}\n# Empty\n\n# Last\n{body}\n"
     rows = X.extract(docs(spark, ("a.md", text)), "section_wise").orderBy("unit_ord").collect()
-    assert [(r["title"], r["level"], r["section_path"]) for r in rows] == [("front", 1, "front"), ("Two", 2, "front > Two"), ("Deep Title", 2, "front > Deep Title"), ("Empty", 1, "Empty")]
-    assert rows[-1]["text"] == ""  # a body of blank lines is a section still
+    assert [(r["title"], r["level"], r["section_path"]) for r in rows] == [("front", 1, "front"), ("Two", 2, "front > Two"), ("Deep Title", 2, "front > Deep Title"), ("Empty", 1, "Empty"), ("Last", 1, "Last")]
+    assert rows[-2]["text"] == ""  # a body of blank lines is a section still
     # right under a heading, what only looks like one is body
     text = f"# One\n{body}\n# Two\nLooks Like Heading\n{body}\n"
     rows = X.extract(docs(spark, ("a.md", text)), "section_wise").orderBy("unit_ord").collect()
@@ -142,7 +142,7 @@ def test_answers(spark):
     chunks = chunks.withColumns({"title": none.cast("string"), "section_path": none.cast("string"), "source_unit": none.cast("string"), "page": F.lit(3), "rows": none.cast("array<array<string>>")})
     qs = spark.createDataFrame([(1, "how is the reactor cooled"), (2, "what about zebras"), (3, "nothing found")], "query_id long, question string")
     asked = A.question_terms(qs, A.support_terms(chunks), 2)
-    hits = chunks.where("chunk_id = 'c1'").select(F.explode(F.array(F.lit(1), F.lit(2))).cast("bigint").alias("query_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), *chunks.columns)
+    hits = chunks.where("chunk_id = 'c1'").select(F.explode(F.expr("array(1L, 2L)")).alias("query_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), *chunks.columns)
     got = {r["query_id"]: r["answer"] for r in A.answers(asked, hits).collect()}
     assert got[1] == "Answer: The reactor is cooled by water.\n\nSource: c1, page 3"
     assert got[2].startswith(A.NO_SUPPORT) and got[3] == A.NOTHING_RETRIEVED
