@@ -20,8 +20,10 @@ other than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,8 +38,8 @@ CIRCLE = 1 << 20
 MISS = 1e-6
 #: Distinct words whose hashes a worker remembers; a full memo starts anew.
 MEMO = 300_000
-#: Rounds of random leaders at most, pairs a row that are few enough to go on to the end, bits of a hash class.
-LEADERS, FEW, RARITY = 6, 2, 16
+#: Rows in a block of a bucket, and deviations that a signature's agreement may fall short of the threshold.
+BLOCK, SIGMAS = 256, 5.0
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -94,6 +96,11 @@ class Circulant:
         return sig
 
 
+@lru_cache(maxsize=4)
+def _circulant(size: int) -> Circulant:
+    return Circulant(size)
+
+
 def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -108,7 +115,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int, id_col: str,
     """(doc, ref, fp, n, keys): fp names the set, keys are its buckets; both null for an empty set."""
 
     def run(batches):
-        shingler, circulant = Shingler(words), Circulant(rows * bands)
+        shingler, circulant = Shingler(words), _circulant(rows * bands)
         salt = np.arange(1, bands + 1, dtype=np.uint64) * _M2
         for batch in batches:
             fps, ns, keys = [], [], []
@@ -167,37 +174,42 @@ def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return r.join(mixed, "key")
 
 
-def _pairs_left(open_: DataFrame) -> int:
-    c = open_.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return int(c.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
-
-
-def _rare_ends(sets: DataFrame, percent: int) -> DataFrame:
-    """(fp, ends): of each set the shingles that come first by how often their hash class
-    occurs, so many that two linked sets must share one of them (prefix filtering)."""
-
-    def count(batches):
-        total = np.zeros(1 << RARITY, np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - RARITY), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    often = np.zeros(1 << RARITY, np.int64)
-    for r in sets.select("s").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 2^RARITY rows at most
-        often[r["at"]] = r["n"]
-
-    def pick(batches):
-        for batch in batches:
-            out = []
-            for s in batch.column(1):
-                s = s.values.to_numpy()
-                n = len(s)
-                k = n - -(-n * percent // 100) + 1
-                out.append(s[np.lexsort((s, often[s.view(np.uint64) >> np.uint64(64 - RARITY)]))[:k]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["fp", "ends"])
+def _linked_in_blocks(open_: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between components, as many as join what the members of a pair of blocks
+    join. A pair's signatures must agree in as many coordinates as those of any pair at the
+    threshold do, but for `SIGMAS` deviations; its full sets then decide."""
+    t = percent / 100
+    least = size * (t - SIGMAS * math.sqrt(t * (1 - t) / size))
+    blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    dealt = open_.join(blocks, "key").join(sets, "fp").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    # a row goes to every pair of blocks that its own is part of
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fp", "root", "s")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        circulant = _circulant(size)
+        side, fps = pdf["b"].to_numpy(), pdf["fp"].to_list()
+        every = [np.asarray(s).view(np.uint64) for s in pdf["s"]]
+        sig = np.array([circulant.signature(s) for s in every])
+        n = np.array([len(s) for s in every])
+        names = {r: i for i, r in enumerate(dict.fromkeys(pdf["root"]))}
+        root = np.array([names[r] for r in pdf["root"]])
+        found: list[tuple] = []
+        for i in np.flatnonzero(side == key[1]):
+            other = (side == key[2]) & (root != root[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+            at = np.flatnonzero(other)
+            at = at[at > i] if key[1] == key[2] else at
+            for j in at[(sig[at] == sig[i]).sum(axis=1) >= least]:
+                if root[j] == root[i]:
+                    continue
+                where = np.minimum(np.searchsorted(every[i], every[j]), n[i] - 1)
+                shared = int((every[i][where] == every[j]).sum())
+                if shared * 100 >= (n[i] + n[j] - shared) * percent:
+                    found.append((max(fps[i], fps[j]), min(fps[i], fps[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
-    return sets.select("fp", "s").mapInArrow(pick, "fp binary, ends array<bigint>")
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,29 +230,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     links = scratch.cut(_confirmed(first, sets, percent), "links")
     roots = scratch.cut(components(links, scratch), "roots")
 
-    # What the leaders leave open: members of one bucket in different components. Further
-    # leaders, drawn at random, join what belongs together while that still shortens the list.
+    # What the leaders leave open: members of one bucket in different components. Their
+    # signatures are compared in blocks of bounded size, and full sets where those agree.
     open_ = scratch.cut(_open(buckets, roots), "open")
     scratch.drop(buckets)
-    for turn in range(1, LEADERS + 1):
-        if _pairs_left(open_) <= FEW * open_.count():
-            break
-        drawn = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))).alias("l")).select("key", "l.*")
-        asked = open_.join(drawn, "key").where((F.col("root") != F.col("leader_root")) & fits(F.col("n"), F.col("leader_n")))
-        links = scratch.cut(_confirmed(asked.select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent), "links")
-        if links.isEmpty():
-            break
-        roots = scratch.cut(components(_stars(roots).union(links), scratch), "roots")
-        open_, old = scratch.cut(_open(open_.drop("root"), roots), "open"), open_
-        scratch.drop(old)
-    # The rest is compared where the rare ends of both sets meet, as those of any linked pair do.
-    ends = scratch.cut(_rare_ends(sets.join(open_.select("fp").distinct(), "fp", "left_semi"), percent), "ends")
-    rare = open_.join(ends, "fp")
-    x = rare.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("ends").alias("ea"))
-    y = rare.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("ends").alias("eb"))
-    rest = x.join(y, (x["key"] == y["key"]) & (x["a"] > y["b"]) & (x["ra"] != y["rb"]) & fits(F.col("na"), F.col("nb")) & F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
-    more = scratch.cut(_confirmed(rest, sets, percent), "links")
-    for used in (sets, open_, ends):
+    more = scratch.cut(_linked_in_blocks(open_, sets, rows * bands, percent), "links")
+    for used in (sets, open_):
         scratch.drop(used)
     if not more.isEmpty():
         roots = scratch.cut(components(_stars(roots).union(more), scratch), "roots")
