@@ -5,10 +5,10 @@ on a circle of `CIRCLE` positions; a second permutation, shifted round the circl
 k places, gives the k-th signature coordinate, so all coordinates come from two
 permutations and a shingle's values are one contiguous stretch of a table. Bands of
 coordinates are hashed into buckets. Equal sets are one class throughout. In each bucket
-every class is compared with the bucket's least class; pairs of a bucket whose classes
-are then still in different components are compared as well, so that no candidate pair
-is passed over, while groups of copies never meet pair by pair. Links are confirmed on
-the full sets.
+every class is compared with the bucket's least class. Members of a bucket that are then
+still in different components are compared as well, in blocks of bounded size, by
+signature and then by full set, so that no candidate pair is passed over, while pairs of a
+group never leave a block. Links are confirmed on the full sets.
 
 Defined results: letters A-Z are lower-cased, words are runs of anything but ASCII white
 space; a text with fewer words than a shingle is one shingle; a text that is null or
