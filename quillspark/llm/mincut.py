@@ -29,6 +29,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset"}
 CONTENT = {"article", "main"}
+WHOLE = {"html", "body", "main"}
+#: What a main, an article by itself and one within a main or article are measured against.
+PEERS = {"main": ("main",), "article": ("main", "article", "inner"), "inner": ("article", "inner")}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in a class, id, role or label that speak against a part, and for one.
 AGAINST = re.compile(r"(?<![a-z])(?:ads?|advert(?:s|isement|ising|orial)?|adsense|banner|billboard|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|copyright|disclaimer|discussion|disqus|feedback|footer|gdpr|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|alert|overlay|pager|pagination|popup|promo|promoted|promotion|recommend(?:ed|ations)?|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor(?:ed|s)?|subscribe|subscription|tags|toolbar|tracking|widget|topbar|warning)(?![a-z])")
@@ -45,9 +48,11 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def element_weight(tag: str, attrs: str, within_content: bool) -> float:
-    """What an element says of the text in it."""
-    w = 0.0
+def element_weight(tag: str, attrs: str, within_content: bool, within_article: bool) -> tuple[float, bool]:
+    """What an element says of the text in it, and whether its name speaks against it. Names on
+    html, body and main tell the page's state, not a part's role; so do an article's, unless
+    a whole word of them speaks against it or it stands in another article."""
+    w, against = 0.0, False
     if tag in BOILERPLATE or tag == "header" and not within_content:
         w += W_AGAINST
     elif tag in CONTENT:
@@ -56,24 +61,29 @@ def element_weight(tag: str, attrs: str, within_content: bool) -> float:
         if _HIDDEN.search(attrs):
             w += W_HIDDEN
         names = " ".join(_CAMEL.sub("-", a or b or c) for a, b, c in _ATTR.findall(attrs)).lower()
-        if names and AGAINST.search(names):
-            w += W_AGAINST - (W_FOR if tag in CONTENT else 0)
-        elif names and not w and FOR.search(names):
+        if tag == "article" and not within_article:
+            against = any(AGAINST.fullmatch(x) for x in names.split())
+        elif tag not in WHOLE:
+            against = AGAINST.search(names) is not None
+        if names and not against and not w and FOR.search(names):
             w += W_FOR / 2
-    return w
+    return w, against
 
 
 class Block:
-    __slots__ = ("links", "parent", "parts", "tag", "text", "weight")
+    __slots__ = ("doubts", "holder", "links", "parent", "parts", "tag", "text", "weight")
 
-    def __init__(self, tag: str, weight: float, parent: int):
+    def __init__(self, tag: str, weight: float, parent: int, holder: str, doubts: int):
         self.tag, self.weight, self.parent, self.parts, self.links = tag, weight, parent, [], 0
+        self.holder, self.doubts = holder, doubts  # innermost article or main, and names against it
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
-    # an open element: tag, lowest and highest weight so far, number
-    stack: list[tuple[str, float, float, int]] = [("", 0.0, 0.0, 0)]
+    # an open element: tag, lowest and highest weight so far, number; then the lowest weight by a
+    # name and how many names spoke against, both since the innermost article or main, that
+    # one's place in PEERS, and how many spoke against it
+    stack: list[tuple[str, float, float, int, float, int, str, int]] = [("", 0.0, 0.0, 0, 0.0, 0, "", 0)]
     out: list[Block] = []
     now: Block | None = None
     numbers, links, pos, size = 0, 0, 0, len(page)
@@ -83,8 +93,9 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            tag, low, high, number = stack[-1]
-            now = Block(tag, low if low < 0 else high, number)
+            tag, low, high, number, named, _, holder, doubts = stack[-1]
+            low = min(low, named)
+            now = Block(tag, low if low < 0 else high, number, holder, doubts)
             out.append(now)
         text = html_lib.unescape(text) if "&" in text else text
         now.parts.append(text)
@@ -132,10 +143,14 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if tag in CLOSES and stack[-1][0] in CLOSES[tag]:
                 stack.pop()
-            _, low, high, _ = stack[-1]
-            w = element_weight(tag, attrs, high >= W_FOR)
+            _, low, high, _, named, names, holder, doubts = stack[-1]
+            w, against = element_weight(tag, attrs, high >= W_FOR, holder in ("article", "inner"))
+            if tag in CONTENT and w >= W_FOR:  # lifts what names around it say; `settle` weighs them
+                named, names, holder, doubts = 0.0, 0, "inner" if tag == "article" and holder else tag, doubts + names + against
+            elif against:
+                named, names = min(named, w + W_AGAINST), names + 1
             numbers += 1
-            stack.append((tag, min(low, w), max(high, w), numbers))
+            stack.append((tag, min(low, w), max(high, w), numbers, named, names, holder, doubts))
     kept = []
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -145,6 +160,17 @@ def blocks(page: str) -> list[Block]:
     return kept
 
 
+def settle(found: list[Block]) -> None:
+    """Names against an article or main count only where the page has one with fewer of them."""
+    least: dict[str, int] = {}
+    for b in found:
+        if b.weight >= W_FOR:
+            least[b.holder] = min(b.doubts, least.get(b.holder, b.doubts))
+    for b in found:
+        if b.weight >= W_FOR and b.doubts > min(least[p] for p in PEERS[b.holder] if p in least):
+            b.weight += W_AGAINST
+
+
 def odds(b: Block, marked: bool) -> float:
     """Log odds that a block is content; marked: some element of the page says it holds the article."""
     n = len(b.text)
@@ -203,6 +229,7 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
+    settle(found)
     marked = any(b.weight >= W_FOR for b in found)
     z = [odds(b, marked) for b in found]
     edges, last = [], {}

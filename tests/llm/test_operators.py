@@ -350,3 +350,18 @@ def test_pages(spark):
     assert got[1]["text"] == "Title &amp;\nFirst bold text, 3 < 4 and on\nSecond."
     assert [got[i]["text"] for i in (2, 3)] == ["", ""] and got[4]["text"] == "just words" and html.unescape(got[5]["text"]) == "unclosed tag and < sign"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+@pytest.mark.parametrize("around", ['<body class="single has-sidebar">%s</body>', '<html class="nav-open"><body class="no-sidebar with-comments">%s</body></html>', '<main class="has-sidebar">%s</main>', '<div class="layout has-sidebar"><div class="with-comments">%s</div></div>'])
+@pytest.mark.parametrize("article", ["<article>", '<article class="post category-legal tag-search">', '<article class="share">', '<main class="with-comments">'])
+def test_names_around_an_article_lose_nothing(around, article):
+    page = around % ("<nav><a href=1>One</a></nav>" + article + "<h1>Title</h1><p>First text, of some length.</p><p>Second.</p></" + article[1:].split()[0].strip(">") + "><footer>me</footer>")
+    assert mincut.main_text(page) == "Title\nFirst text, of some length.\nSecond."
+
+
+def test_comments_in_articles_are_left_out():
+    said = "<p>I liked this article, said a reader at length.</p></article>"
+    page = '<main><article class="post"><h1>Title</h1><p>First text, of some length.</p></article><article class="comment">' + said + '<section id="comments"><article>' + said + "</section></main>"
+    assert mincut.main_text(page) == "Title\nFirst text, of some length."
+    page = '<main><h1>Title</h1><p>First text, of some length.</p></main><div class="related"><article><p>Another story, told in some words.</p></article></div>'
+    assert mincut.main_text(page) == "Title\nFirst text, of some length."
