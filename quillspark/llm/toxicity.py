@@ -1,9 +1,12 @@
 """Toxicity of texts after noisy-channel deobfuscation (operator 3).
 
-Words that may be disguised (symbols for letters, letters repeated, letters spaced
-out) become character lattices. A Viterbi search finds the reading that a character
-trigram model, counted over every document, and the channel's costs together make
-likeliest. Words whose lattice has a single path are that path. The restored words'
+Words that may be disguised (symbols for letters, letters doubled or repeated, letters
+parted by signs or white space) become character lattices. A Viterbi search finds the
+reading that a character trigram model, counted over every document, and the channel's
+costs together make likeliest. Words whose lattice has a single path are that path. What
+to do with a doubled letter hangs on its two neighbours alone, so for words whose only
+choices are such letters the search is a look into a table. Words without a letter, @ or
+$$ are numbers, and brackets around a word are brackets. The restored words'
 beginnings and the words themselves are the features of a logistic model, fitted on at
 most `SAMPLE` labelled rows.
 
@@ -33,14 +36,19 @@ MEMO = 300_000
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log costs of the channel: a symbol for a letter, a letter repeated, a letter spaced out.
 SWAP, REPEAT, SPACE = -1.5, -1.0, -0.5
+#: Letters drawn with several symbols; log cost of a letter written twice.
+DRAWN, DOUBLE = {"|_|": "u", "|-|": "h", "()": "o", "/\\": "a", "\\/": "v", "|)": "d", "|<": "k"}, -3.0
 #: Classes of characters: space, a to z, 24 for other letters, digits, all else.
 CLASSES = 53
 
 _WORD = re.compile(r"[^\W_]+")
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W_@$!|+]| [@$!|+]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[\s._*/\-]++(?:[^\W_]|[@$!|+(€£])){2,}(?!\S)")
+_LETTER = re.compile(r"[^\W\d_]")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
-_DOTTED = re.compile(r"^[^\W_](?:[._*/\-][^\W_]){2,}$")
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€£]+[^\W\d_]|^[0-9@$|+(€£]+[^\W\d_]|[^\W\d_][0-9@$]$")
+_SINGLE = re.compile(r"^[^\W_](?:[^\w\s]+[^\W_]){2,}$")
+_SEPARATOR = re.compile(r"[\s._*/\-,;:~^=#%&\\`\"'<>\[\]{}?)·•–—…]+")
+_MAYBE = re.compile(r"[^\W\d_]|@|\$\$")
 _DECORATION = re.compile(r"([^\w\s])\1{2,}")
 
 _class_of: np.ndarray | None = None
@@ -99,14 +107,34 @@ class Channel:
     """restore() of disguised words by Viterbi search over a lattice."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.memo = model, {}
+        self.memo, self.classes = {}, {}
+        self.model = model.tolist()
+        # whether a letter c written twice after a and before b is likelier meant once, by [a, c, b]
+        c = np.arange(CLASSES)
+        self.once = (model[:, c, c][:, :, None] + model[c, c][None] < model + np.float32(DOUBLE)).tolist()
 
     def _class(self, c: str) -> int:
-        return int(char_classes()[ord(c[0])])
+        k = self.classes.get(c)
+        if k is None:
+            k = self.classes[c] = int(char_classes()[ord(c)])
+        return k
+
+    def undouble(self, word: str) -> str:
+        """The likeliest path of a word of letters none of which stands three times in a row."""
+        out, at = [], 0
+        for m in _TWICE.finditer(word):
+            i, j = m.span()
+            a = self._class(word[i - 1]) if i else 0
+            b = self._class(word[j]) if j < len(word) else 0
+            c = word[i]
+            if c.islower() and self.once[a][self._class(c)][b]:
+                out.append(word[at : i + 1])
+                at = j
+        return "".join(out) + word[at:]
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest path; a state is the classes of the last two characters."""
-        states = {(0, 0): (0.0, None)}
+        model, states = self.model, {(0, 0): (0.0, None)}
         for options in [*lattice, [(" ", 0.0)]]:
             new: dict = {}
             for (a, b), (score, path) in states.items():
@@ -114,7 +142,7 @@ class Channel:
                     x, y, s = a, b, score + cost
                     for c in out:
                         k = self._class(c)
-                        s += float(self.model[x, y, k])
+                        s += model[x][y][k]
                         x, y = y, k
                     if (x, y) not in new or s > new[x, y][0]:
                         new[x, y] = (s, (out, path))
@@ -127,20 +155,41 @@ class Channel:
         return "".join(reversed(out))[:-1]
 
     def lattice(self, word: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+        """Each place's readings with their costs. spaced: an apostrophe may part letters too."""
         out, i = [], 0
+        end = len(word.rstrip("!"))
         while i < len(word):
             c = word[i]
+            drawn = next((d for d in DRAWN if word.startswith(d, i)), None)
+            if drawn and (i or i + len(drawn) < len(word)):
+                out.append([(" ", 0.0), (DRAWN[drawn], SWAP)])
+                i += len(drawn)
+                continue
+            m = _SEPARATOR.match(word, i)
+            if m:
+                fixed = m.group() == "'" and not spaced or not i or m.end() == len(word)
+                out.append([(" ", 0.0)] if fixed else [(" ", 0.0), ("", SPACE)])
+                i = m.end()
+                continue
             n = 1
             while i + n < len(word) and word[i + n] == c:
                 n += 1
-            if spaced and i % 2 and c in " ._*/-":
-                out.append([(" ", 0.0), ("", SPACE)])
-                i += 1
-                continue
             if n >= 3 and c.isalpha():
                 out.append([(c, REPEAT), (c * 2, REPEAT), (c * n, 0.0)])
                 i += n
                 continue
+            if n == 2 and c.islower():
+                out.append([(c * 2, 0.0), (c, DOUBLE)])
+                i += n
+                continue
+            if n >= 4 and c in STANDS_FOR:
+                out.append([(c * n, 0.0), *[(x * k, SWAP + REPEAT) for x in STANDS_FOR[c] for k in (1, 2)]])
+                i += n
+                continue
+            if i >= end:  # a mark at the end is none of the word's letters, or one
+                out.append([("", 0.0), ("i", SWAP)])
+                i += 1
+                continue
             out.append([(c, 0.0), *[(x, SWAP) for x in STANDS_FOR.get(c, "")]])
             i += 1
         return out
@@ -148,13 +197,13 @@ class Channel:
     def restore(self, word: str) -> str:
         """A lower-case word without white space."""
         core = _DECORATION.sub(" ", word).strip(" .,;:?\"'()[]{}<>")
-        if not core or core.isalpha() and not _REPEATED.search(core):
+        if core.isalpha():
+            if not _TWICE.search(core):
+                return core
+            return self.decode(self.lattice(core)) if _REPEATED.search(core) else self.undouble(core)
+        if not core or not _MAYBE.search(core):
             return core
-        if _DOTTED.match(core):
-            return self.decode(self.lattice(core, True))
-        if _MIXED.search(core) or _REPEATED.search(core):
-            return self.decode(self.lattice(core))
-        return core
+        return self.decode(self.lattice(core, _SINGLE.match(core) is not None))
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text, those read from spaced letters among them."""
@@ -162,6 +211,8 @@ class Channel:
         out: set[str] = set()
         for m in _SPACED.finditer(text):
             run = m.group()
+            if not _LETTER.search(run):
+                continue
             if run not in self.memo:
                 self._keep(run, tuple(_WORD.findall(self.decode(self.lattice(run, True)))))
             out.update(self.memo[run])

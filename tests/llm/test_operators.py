@@ -162,6 +162,23 @@ def test_restores_disguised_words(spark):
     assert channel.restore("plain") == "plain" and channel.words("2024 is 100") == {"2024", "is", "100"}
 
 
+def test_restores_other_disguises(spark):
+    rng = random.Random(2)
+    vocabulary = "the idiot was here and some moron said that his stupid house is worthless like a loser with a class of scum at the pass all summer".split()
+    docs = documents(spark, [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(200)])
+    channel = toxicity.Channel(toxicity.log_model(toxicity.count_trigrams(docs)))
+    forms = {"idiot": ["id-iot", "i..d..i..o..t", "!diot", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "1 d 1 0 t", "i - d - i - o - t", "i,d,i,o,t", "i***d***i***o***t", "iddiot"], "stupid": ["stuupid", "s-tupid"], "loser": ["losser", "l00000ser"], "scum": ["sc|_|m"], "worthless": ["worthle$$", "w()rthle$$"], "pass": ["pa55", "p@$$"]}
+    for word, ways in forms.items():
+        for way in ways:
+            assert word in channel.words(f"what an {way} said"), way
+    for word in vocabulary:
+        assert channel.words(f"{word}! ({word}, {word}.)") == {word}, word
+    assert channel.words("moron/loser said: 'here', 10 20 30 +1 $5") == {"moron", "loser", "said", "here", "10", "20", "30", "1", "5"}
+    for word in ["".join(rng.choice("abils") * rng.choice([1, 1, 2]) for _ in range(6)) for _ in range(300)]:
+        if not toxicity._REPEATED.search(word):
+            assert channel.undouble(word) == channel.decode(channel.lattice(word))
+
+
 def test_scores(spark, odd_texts):
     rng = random.Random(4)
     bad = {i: i % 3 == 0 for i in range(300)}
