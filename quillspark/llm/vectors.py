@@ -1,11 +1,14 @@
 """Embedding near-dedup by spherical k-means cells (operator 7).
 
 Centroids are learned from a bounded sample and kept at unit length. Each vector has a
-home cell, the one of nearest centroid, and visits the next-nearest cells too. Vectors at home in a cell are
-compared with those at home there and with visitors, in blocks of bounded size, by one
-matrix product a pair of blocks. Equal vectors are one class throughout. A block pair
-returns how many vectors each one is linked to, and a spanning forest of its links, so a
-large group never leaves pair by pair.
+home cell, the one of nearest centroid. A label's vectors, in the order of their cells, fall
+into blocks of bounded size. A vector meets every block that holds a cell it may have a
+link to: a vector at home with centroid d is at least (x.c - x.d) / |c - d| away from an x at
+home with c, as the plane between c and d parts them. The bound is exact, so no link is
+lost whatever the number of cells; vectors without clusters meet all of their label. A pair
+of blocks is compared by one matrix product. Equal vectors are one class throughout. A
+block pair returns how many vectors each one is linked to, and a spanning forest of its
+links, so a large group never leaves pair by pair.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite components, and those without a label, have no links and are their own
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -25,8 +28,8 @@ from .graph import components
 
 #: Vectors the centroids are learned from, at most; vectors a cell should hold; centroids at most.
 SAMPLE, CELL, CELLS = 20_000, 1000, 1024
-#: Cells that a vector visits besides its home, and rows in a block.
-VISITS, BLOCK = 3, 1024
+#: Vectors in a block, and rows of a product at once.
+BLOCK, ROWS = 4096, 1024
 
 
 def usable(vec: Column) -> Column:
@@ -53,25 +56,42 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.
     return c
 
 
+def in_chain(center: np.ndarray) -> np.ndarray:
+    """The centroids, each followed by the nearest of those left, so that blocks hold neighbours."""
+    near = center @ center.T
+    order, left = [0], np.ones(len(center), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, near[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return center[order]
+
+
+def reachable(x: np.ndarray, center: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector's home, and the cells whose vectors may have a cosine of `threshold` with it."""
+    near = x @ center.T
+    home = near.argmax(axis=1)
+    sq = (center * center).sum(axis=1)
+    apart = np.sqrt(np.maximum(0.0, sq[:, None] + sq[None] - 2 * center @ center.T))
+    far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    return home, near.max(axis=1, keepdims=True) - near <= far * apart[home] + 1e-6
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges (a, b) among n nodes thinned to a spanning forest."""
-    root = list(range(n))
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        u, v = x, y
-        while root[u] != u:
-            root[u] = root[root[u]]
-            u = root[u]
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append((x, y))
-    return out
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", visits: int = VISITS) -> DataFrame:
+    """Edges (a, b) among n nodes thinned to one from each node to the least of its component."""
+    root = np.arange(n)
+    while len(a):
+        u, v = root[a], root[b]
+        apart = u != v
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    at = np.flatnonzero(root != np.arange(n))
+    return list(zip(at.tolist(), root[at].tolist()))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept), one row per vector."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     vec = F.col(vec_col).cast("array<double>")
@@ -85,7 +105,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     classes = scratch.cut(classes, "classes")
     n = classes.count()
     if n:
-        found = _linked(spark, scratch, classes, n, threshold, visits)
+        found = _linked(spark, scratch, classes, n, threshold)
         counts, edges = (scratch.cut(x, "found") for x in (found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links")), found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()))
         roots = components(edges, scratch)
         least = rows.where("good").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
@@ -99,64 +119,71 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     return out.select(F.col("id").alias(id_col), F.col("n_links").cast("bigint").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _linked(spark, scratch: Scratch, classes: DataFrame, n: int, threshold: float, visits: int) -> DataFrame:
+def _linked(spark, scratch: Scratch, classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(cls, other, links): counts of links with other null, and forest edges with links null."""
     sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim = sizes[0]["dim"]
     picked = classes.where(F.size("v") == dim).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").toPandas()
     sample = unit(np.array(picked["v"].tolist(), float))
-    center = centroids(sample, max(1, min(CELLS, n // CELL)))
-    visits = min(visits, len(center) - 1)
+    center = in_chain(centroids(sample, max(1, min(CELLS, n // CELL))))
 
-    def assign(frames):
+    def place(frames):
+        for pdf in frames:
+            if len(pdf):
+                x = unit(np.array(pdf["v"].tolist(), float))
+                yield pd.DataFrame({"label": pdf["label"], "cell": (x @ center.T).argmax(axis=1).astype("int32"), "cls": pdf["cls"], "u": list(x), "copies": pdf["copies"]})
+
+    placed = classes.where(F.size("v") == dim).mapInPandas(place, "label string, cell int, cls string, u array<double>, copies bigint")
+    placed = scratch.cut(placed, "placed")
+    # Blocks: a label's cells in order, cut every BLOCK rows; a cell across a cut is dealt by hash.
+    size = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"))
+    until = F.sum("n").over(Window.partitionBy("label").orderBy("cell"))
+    size = size.withColumn("until", until).select("label", "cell", F.floor((F.col("until") - F.col("n")) / BLOCK).cast("int").alias("first"), F.floor((F.col("until") - 1) / BLOCK).cast("int").alias("last"))
+    size = scratch.cut(size, "cells")
+    ranges = size.select("label", "cell", F.explode(F.sequence("first", "last")).alias("block")).groupBy("label", "block").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+    # one row a label, and a pair of numbers for every BLOCK rows in all
+    ranges = ranges.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("block", "lo", "hi"))).alias("r")).select("label", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    own = F.col("first") + F.pmod(F.xxhash64("cls"), F.col("last") - F.col("first") + 1).cast("int")
+    dealt = placed.join(size, ["label", "cell"]).withColumn("own", own).join(ranges, "label").select("label", "own", "lo", "hi", "cls", "u", "copies")
+
+    def meet(frames):
         for pdf in frames:
             if not len(pdf):
                 continue
-            x = unit(np.array(pdf["v"].tolist(), float))
-            near = x @ center.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, : visits + 1]
-            rep = visits + 1
-            take = np.repeat(np.arange(len(pdf)), rep)
-            yield pd.DataFrame({"label": pdf["label"].to_numpy()[take], "cell": cells.ravel().astype("int32"), "home": np.repeat(cells[:, 0], rep).astype("int32"), "visited": [c for c in cells.astype("int32") for _ in range(rep)], "cls": pdf["cls"].to_numpy()[take], "u": [x[i] for i in take], "copies": pdf["copies"].to_numpy()[take]})
-
-    placed = classes.where(F.size("v") == dim).mapInPandas(assign, "label string, cell int, home int, visited array<int>, cls string, u array<double>, copies bigint")
-    placed = scratch.cut(placed, "placed")
-    # Blocks: a group's rows are dealt by hash into as many blocks as keep each near BLOCK rows.
-    size = placed.groupBy("label", "cell").agg(F.sum((F.col("home") == F.col("cell")).cast("bigint")).alias("homes"), F.count(F.lit(1)).alias("all"))
-    size = size.select("label", "cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ab")).where("hb > 0")
-    dealt = placed.join(size, ["label", "cell"])
-    # Left: homes by block i. Right: homes and visitors by block j. Each left-right pair of blocks is one task.
-    i = F.pmod(F.xxhash64("cls"), F.col("hb")).cast("int")
-    j = F.pmod(F.xxhash64("cls"), F.col("ab")).cast("int")
-    left = dealt.where("home = cell").select("label", "cell", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(0).alias("side"), "home", "visited", "cls", "u", "copies")
-    right = dealt.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "home", "visited", "cls", "u", "copies")
+            _, may = reachable(np.array(pdf["u"].tolist()), center, threshold)
+            upto = np.concatenate([np.zeros((len(pdf), 1), np.int64), may.cumsum(axis=1)], axis=1)
+            to = [np.flatnonzero(c[h + 1] - c[l] > 0).tolist() for c, l, h in zip(upto, pdf["lo"], pdf["hi"])]
+            yield pd.DataFrame({"label": pdf["label"], "own": pdf["own"], "to": [sorted({o, *t}) for o, t in zip(pdf["own"].tolist(), to)], "cls": pdf["cls"], "u": pdf["u"], "copies": pdf["copies"]})
+
+    sent = dealt.mapInPandas(meet, "label string, own int, to array<int>, cls string, u array<double>, copies bigint")
+    sent = sent.select("label", "own", F.explode("to").alias("to"), "cls", "u", "copies")
+    # Two blocks meet once, the lesser at the left; a block meets itself.
+    tasks = sent.select("label", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "cls", "u", "copies")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        alone = key[1] == key[2]
+        a, b = (pdf, pdf) if alone else (pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]])
         ka, kb = a["cls"].to_numpy(), b["cls"].to_numpy()
         none = pd.DataFrame({"cls": pd.Series([], dtype=str), "other": pd.Series([], dtype=str), "links": pd.Series([], dtype="int64")})
         if not len(ka) or not len(kb):
             return none
         xa, xb = np.array(a["u"].tolist()), np.array(b["u"].tolist())
-        parts = []
-        for s in range(0, len(ka), BLOCK):
-            r, c = np.nonzero(xa[s : s + BLOCK] @ xb.T >= threshold)
-            parts.append((r + s, c))
-        r, c = (np.concatenate(p) for p in zip(*parts))
-        # Two at home here meet in both orders and count for the left one. One at home here and
-        # a visitor count for both, in this cell or, if they also meet there and it is the lesser, in the visitor's.
-        home = b["home"].to_numpy()[c]
-        stranger = home != key[1]
-        back = (np.array(a["visited"].tolist())[r] == home[:, None]).any(axis=1)
-        keep = (ka[r] != kb[c]) & (~stranger | ~back | (key[1] < home))
-        r, c, stranger = r[keep], c[keep], stranger[keep]
-        if not len(r):
+        parts: list[tuple[int, int]] = []
+        ca, cb = a["copies"].to_numpy(), b["copies"].to_numpy()
+        na, nb = np.zeros(len(ka), "int64"), np.zeros(len(kb), "int64")
+        for s in range(0, len(ka), ROWS):
+            r, c = np.nonzero(xa[s : s + ROWS] @ xb.T >= threshold)
+            r += s
+            if alone:
+                r, c = r[r != c], c[r != c]
+            na += np.bincount(r, cb[c], len(ka)).astype("int64")
+            if not alone:
+                nb += np.bincount(c, ca[r], len(kb)).astype("int64")
+            parts += _forest(r, c + (0 if alone else len(ka)), len(ka) + len(kb))
+        if not parts:
             return none
-        na = np.bincount(r, b["copies"].to_numpy()[c], len(ka)).astype("int64")
-        nb = np.bincount(c[stranger], a["copies"].to_numpy()[r[stranger]], len(kb)).astype("int64")
-        names = sorted({*ka[r].tolist(), *kb[c].tolist()})
-        at = {k: i for i, k in enumerate(names)}
-        f = _forest(np.array([at[k] for k in ka[r]]), np.array([at[k] for k in kb[c]]), len(names))
+        names = ka if alone else np.concatenate([ka, kb])
+        f = _forest(*np.array(parts).T, len(ka) + len(kb))
         return pd.DataFrame(
             {
                 "cls": [*ka[na > 0], *kb[nb > 0], *[names[x] for x, _ in f]],
@@ -165,5 +192,4 @@ def _linked(spark, scratch: Scratch, classes: DataFrame, n: int, threshold: floa
             }
         )
 
-    tasks = left.unionByName(right).groupBy("label", "cell", "i", "j")
-    return scratch.cut(tasks.applyInPandas(compare, "cls string, other string, links bigint"), "blocks")
+    return scratch.cut(tasks.groupBy("label", "i", "j").applyInPandas(compare, "cls string, other string, links bigint"), "blocks")

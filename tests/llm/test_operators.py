@@ -309,6 +309,27 @@ def test_near_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(spark.createDataFrame([], EMBEDDINGS)).count() == 0
 
 
+def test_near_vectors_lose_no_link_among_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 5)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "ROWS", 8)
+    rng = np.random.RandomState(11)
+    base = rng.randn(250, 12)
+    x = np.concatenate([base, base + rng.randn(250, 12) * 0.38, base[:100] + rng.randn(100, 12) * 0.3]).astype(np.float32).astype(float)
+    label = np.arange(len(x)) % 250 % 2
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), int(label[i]), 1, "c") for i, v in enumerate(x)], EMBEDDINGS)).collect()}
+    u = vectors.unit(x)
+    link = (u @ u.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(link, False)
+    assert link.sum() > 100 and [got[i]["n_links"] for i in range(len(x))] == link.sum(axis=1).tolist()
+    least = np.arange(len(x))
+    for _ in range(len(x)):
+        least = np.array([min(least[i], *least[link[i]]) if link[i].any() else least[i] for i in range(len(x))])
+        if not (least[np.nonzero(link)[0]] != least[np.nonzero(link)[1]]).any():
+            break
+    assert [got[i]["component_id"] for i in range(len(x))] == least.tolist()
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6])
 def test_top_k_equals_brute_force(spark, scale):
     rng = np.random.RandomState(9)
