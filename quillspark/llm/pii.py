@@ -1,8 +1,10 @@
 """Personal data in texts (operator 2), by DataFrame functions alone.
 
 Four base expressions find e-mail addresses, IPv4 addresses, payment cards and telephone
-numbers. These seed a bootstrap. Every token with a digit or an @ is an instance; the two
-words before it are a lexical pattern of the kind. Patterns and instances form a graph
+numbers. These seed a bootstrap. Every token with a digit or an @ is an instance, and so is
+every longest run of numbers joined by blanks, brackets, dots or hyphens outside of base
+spans; the two words before it, the one before and the one after are lexical patterns of
+the kind. Patterns and instances form a graph
 whose edges are counted over the whole corpus. A pattern's confidence is the weighted
 share of its instances that are trusted, an instance's trust is what its patterns leave
 no doubt of; both are worked out in turn for some rounds. Patterns of high confidence
@@ -10,7 +12,8 @@ then make spans of instances no base expression knows.
 
 Defined results: a null text is empty and has no spans; base spans of one kind never
 overlap and failing matches are dropped without another try; spans of several kinds
-may share text; found spans never touch base spans; repeated rows are each annotated;
+may share text; found spans never touch base spans, and of overlapping ones the first and
+longest stays; an instance without a word beside it has no pattern; repeated rows are each annotated;
 columns other than id and text are kept by `redact` and ignored by `annotate`.
 """
 
@@ -33,6 +36,8 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for at all.
 HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 TOKEN = r"\S*[0-9@]\S*"
+#: Numbers joined by blanks and the like, up to the end of the last one's token.
+RUN = r"(?<!\S)[\[\"'<]*+[+(]*+[0-9]++(?:[\x20().-]++[0-9]++)++(?![^\s.,;:!?)\]\"'>])"
 #: Rounds of the bootstrap, least confidence of a pattern, and least trusted instances it needs.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
 
@@ -68,21 +73,26 @@ SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 
 
 def matches(text: Column, pattern: str, tail: int = 0) -> Column:
-    """array<struct<start, end, m, before>> of an expression's matches: the text between
-    them gives the places, and `tail` characters before each are kept."""
+    """array<struct<start, end, m, before, after>> of an expression's matches: the text between
+    them gives the places, and `tail` characters before each are kept, and as many after it
+    up to the end of the next."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         at = s["at"] + F.length(x["p"])
         end = at + F.length(x["m"])
         before = F.right(x["p"], F.lit(tail)) if tail else F.lit("")
-        one = F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("m"), before.alias("before"))
+        one = F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("m"), before.alias("before"), x["n"].alias("after"))
         return F.struct(end.cast("int").alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), lambda m, p: F.struct(p.alias("p"), m.alias("m")))
+    n = F.greatest(F.size(found), F.lit(0))
+    pairs = F.zip_with(found, F.slice(between, 1, n), lambda m, p: F.struct(p.alias("p"), m.alias("m"), F.lit("").alias("n")))
+    if tail:
+        after = F.zip_with(F.slice(between, 2, n), F.slice(found, 2, n), lambda p, m: F.left(F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit(""))), F.lit(tail)))
+        pairs = F.zip_with(pairs, after, lambda x, a: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.coalesce(a, F.lit("")).alias("n")))
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
 
 
@@ -101,7 +111,7 @@ def base_spans(text: Column) -> Column:
     parts = []
     for k, kind in enumerate(KINDS):
         hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else digit
-        none = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string>>)")
+        none = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
         parts.append(_of_kind(F.when(hint, matches(text, PATTERNS[kind])).otherwise(none), k, kind))
     return F.when(digit, F.array_sort(F.concat(*parts))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
@@ -116,31 +126,47 @@ def _loose_kind(m: Column) -> Column:
     return (
         F.when(m.rlike(r"^[^@\s]+@[^@\s]+$"), "email")
         .when(m.rlike(r"^[0-9]+([.:,][0-9]+){3}$"), "ip")
-        .when((n >= 12) & (n <= 19) & m.rlike(r"^[0-9][0-9._/-]*[0-9]$"), "card")
-        .when((n >= 7) & (n <= 15) & m.rlike(r"^[+(]?[0-9][0-9()._/-]*[0-9]$"), "phone")
+        .when((n >= 12) & (n <= 19) & m.rlike(r"^[0-9][0-9\x20._/-]*[0-9]$"), "card")
+        .when((n >= 7) & (n <= 15) & m.rlike(r"^[+(]*[0-9][0-9()\x20._/-]*[0-9]$"), "phone")
     )
 
 
-def _two_words(before: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s+$", 1), r"\s+", " "))
+def _patterns(before: Column, after: Column) -> Column:
+    """The two words before, the one before and the one after, as far as they are there."""
+    two = F.regexp_replace(F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s+$", 1), r"\s+", " ")
+    one = F.regexp_extract(before, r"(?:^|\s)(\S+)\s+$", 1)
+    next_ = F.regexp_extract(after, r"^[^\p{L}\p{N}\s]*\s+(\S+)", 1)
+    return F.array_compact(F.array(*[F.when(w != "", F.concat(F.lit(place), F.lower(w))) for place, w in (("2<", two), ("1<", one), ("1>", next_))]))
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with base spans written over by letters."""
+    def step(t: Column, s: Column) -> Column:
+        return F.concat(F.substring(t, F.lit(1), s["start"]), F.repeat(F.lit("x"), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t)))
+    return F.when(F.size(base) > 0, F.aggregate(base, text, step)).otherwise(text)
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
-    """(rid, start, end, instance, pattern, kind, seed): base spans, and other tokens with a
-    digit or @ whose shape could be of some kind, each after two words."""
+    """(rid, start, end, instance, patterns, kind, seed): base spans, and other tokens with a
+    digit or @ and runs of numbers whose shape could be of some kind."""
     some = rows.where(F.col("text").rlike("[0-9@]"))
+    text = F.col("text")
     known = some.select("rid", "text", F.explode("base").alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - 100, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(100)))
-    known = known.select("rid", "s.start", "s.end", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("instance"), _two_words(before).alias("pattern"), "s.kind", F.lit(True).alias("seed"))
+    before = F.substring(text, F.greatest(F.col("s.start") - 100, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(100)))
+    after = F.substring(text, F.col("s.end") + 1, F.lit(100))
+    known = known.select("rid", "s.start", "s.end", F.substring(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("instance"), _patterns(before, after).alias("patterns"), "s.kind", F.lit(True).alias("seed"))
     head = r"^[^\p{L}\p{N}+(]+"
-    t = some.select("rid", "base", F.explode(matches(F.col("text"), TOKEN, tail=100)).alias("x"))
+    part = text.rlike(r"[0-9][().-]*\x20[\x20().-]*[0-9]")
+    runs = some.where(part).select("rid", "base", _masked(text, F.col("base")).alias("text"))
+    runs = runs.select("rid", "base", F.explode(F.filter(matches(text, RUN, tail=100), lambda x: F.contains(x["m"], F.lit(" ")))).alias("x"))
+    t = some.select("rid", "base", F.explode(matches(text, TOKEN, tail=100)).alias("x")).unionByName(runs)
     rest = F.regexp_replace("x.m", head, "")
     core = F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", "")
     start = (F.col("x.start") + F.length("x.m") - F.length(rest)).cast("int")
-    t = t.select("rid", "base", start.alias("start"), (start + F.length(core)).cast("int").alias("end"), core.alias("instance"), _two_words(F.col("x.before")).alias("pattern"))
+    t = t.select("rid", "base", start.alias("start"), (start + F.length(core)).cast("int").alias("end"), core.alias("instance"), _patterns(F.col("x.before"), F.col("x.after")).alias("patterns"))
     t = t.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    t = t.select("rid", "start", "end", "instance", "pattern", _loose_kind(F.col("instance")).alias("kind"), F.lit(False).alias("seed"))
-    return known.unionByName(t).where("kind is not null and instance <> '' and pattern <> ''")
+    t = t.select("rid", "start", "end", "instance", "patterns", _loose_kind(F.col("instance")).alias("kind"), F.lit(False).alias("seed"))
+    return known.unionByName(t).where("kind is not null and instance <> '' and size(patterns) > 0").select("rid", "start", "end", "instance", F.explode("patterns").alias("pattern"), "kind", "seed")
 
 
 def bootstrap(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -166,7 +192,15 @@ def _annotated(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFr
     good = bootstrap(mentions, scratch)
     found = mentions.where("not seed").join(good, ["kind", "pattern"])
     order = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
-    extra = found.groupBy("rid").agg(F.collect_list(F.struct("start", order[F.col("kind")].alias("ord"), "end", "kind")).alias("extra"))
+    spans = found.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), order[F.col("kind")].alias("ord"), "end", "kind"))).alias("spans"))
+    state = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("end"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        keep = (x["start"] >= s["end"]) | (x["start"] == s["start"]) & (x["end"] == s["end"])
+        one = F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind"))
+        return F.when(keep, F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(s["out"], F.array(one)).alias("out"))).otherwise(s)
+
+    extra = spans.select("rid", F.aggregate("spans", state, step)["out"].alias("extra"))
     return rows, extra
 
 

@@ -147,6 +147,17 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.annotate(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
 
 
+def test_bootstrap_finds_identifiers_with_blanks(spark):
+    seeds = [f"please write my phone: +1 (980) 555-{1000 + i} today" for i in range(30)] + [f"the card number {c} paid" for c in ("4111 1111 1111 1111", "5555 5555 5555 4444", "4012 8888 8888 1881", "4222-2222-2222-2", "6011 1111 1111 1117", "3566 0020 2036 0505", "5105 1051 0510 5100")]
+    unseen = {"write my phone: (980) 555-6268 today": "(980) 555-6268", "write my phone: 555 123 4567.": "555 123 4567", "phone: (212) 555-0101": "(212) 555-0101", "(213) 555-0102 today": "(213) 555-0102", "my phone: 555 123 4568 1.2.3.4": "555 123 4568", "that card number 4111 1111 1111 1112 paid": "4111 1111 1111 1112"}
+    docs = documents(spark, [*seeds, *unseen, "in room 12 3456 789 0", "12 34"])
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, (text, one) in enumerate(unseen.items(), len(seeds)):
+        kind = "<CARD>" if "card" in text else "<PHONE>"
+        assert out[i] == text.replace(one, kind).replace("1.2.3.4", "<IP>"), out[i]
+    assert out[len(seeds) + 6] == "in room 12 3456 789 0" and out[len(seeds) + 7] == "12 34"
+
+
 # Toxicity
 
 
