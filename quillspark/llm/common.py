@@ -12,16 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that leave a filter at once.
+ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only where none is set and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("quillspark.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("quillspark.scratch", root)
     return root.rstrip("/")
@@ -61,12 +67,14 @@ def text_or_empty(col: str = "text") -> Column:
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text_col: str = "text") -> DataFrame:
     """The rows whose text a decider keeps, all columns as they were; null texts count as
-    empty. `make` is called once in a task."""
+    empty. `make` is called once in a task. Rows leave in small batches."""
 
     def run(batches):
         decide = make()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            yield batch.filter(pa.array([decide(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+            for k in range(0, batch.num_rows, ROWS):
+                some = batch.slice(k, ROWS)
+                yield some.filter(pa.array([decide(t.as_py() or "") for t in some.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

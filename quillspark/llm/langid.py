@@ -7,7 +7,9 @@ rank differences, n-grams absent from a profile counting as its full length.
 
 Defined results: a text that is null, empty or without letters is `und` with score 0;
 ties go to the language first in order; equal counts rank by n-gram; whole texts are
-counted. Without any training row every text is `und`.
+counted, however long a word is; repeated rows count and are predicted each; columns other
+than id, text and language are ignored, whatever their names. Without any training row
+every text is `und`.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import keep_rows, text_or_empty
 PROFILE, TOP = 500, 300
 #: A text further than this from every profile is in no language that is known.
 LEAST = 0.25
-#: Code points scanned at once; a longer text is counted in such stretches.
-STRETCH = 1 << 20
+#: Code points scanned at once, which bounds a worker's memory; and distinct n-grams summed before they are merged.
+STRETCH, MERGE = 1 << 16, 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -37,60 +39,76 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, each packed into 64 bits, and their counts."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[codes]
-    codes = np.where(is_letter, codes, 32).astype(np.int64)
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    codes = np.concatenate([[32], codes[keep], [32]]) if keep.any() else codes[:0]
-    if len(codes) < 3:
-        return codes[:0], codes[:0]
-    one = codes[codes != 32]
-    two = codes[:-1] << 21 | codes[1:]
-    three = two[:-1] << 21 | codes[2:]
-    three = three[codes[1:-1] != 32]  # no n-gram reaches over a word's edge
-    two = two[two != (32 << 21 | 32)]
-    return np.unique(np.concatenate([one, two, three]), return_counts=True)
-
-
-def whole_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    if len(text) <= STRETCH:
-        return grams(text)
-    parts, i = [], 0
-    while i < len(text):  # cut at a space, so that no word is cut; only a word of that length would be
-        j = text.rfind(" ", i + 1, i + STRETCH) if i + STRETCH < len(text) else len(text)
-        j = j if j > i else i + STRETCH
-        parts.append(grams(text[i:j]))
-        i = j
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of some counts, and their sums."""
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def grams(text: str, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, each packed into 64 bits, and their counts. A stretch counts the
+    n-grams that end in it; the last two places are carried on, so no cut is seen."""
+    low, parts, size = text.lower(), [], 0
+    carry, was = np.array([32], np.int64), False
+    for i in range(0, len(low), stretch):
+        codes = np.frombuffer(low[i : i + stretch].encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_letter = letters()[codes]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[0] |= was
+        was = bool(is_letter[-1])
+        new = np.where(is_letter, codes, 32).astype(np.int64)[keep]
+        if i + stretch >= len(low):
+            new = np.append(new, 32)
+        seq = np.concatenate([carry, new])
+        two = seq[:-1] << 21 | seq[1:]
+        three = two[:-1] << 21 | seq[2:]
+        three = three[seq[1:-1] != 32]  # no n-gram reaches over a word's edge
+        two = two[len(carry) - 1 :]
+        carry = seq[-2:]
+        parts.append(np.unique(np.concatenate([new[new != 32], two[two != (32 << 21 | 32)], three]), return_counts=True))
+        size += len(parts[-1][0])
+        if size > MERGE:
+            parts = [summed(parts)]
+            size = len(parts[0][0])
+    return summed(parts)
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, gram, n): summed within each task before anything is shuffled."""
 
     def run(batches):
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: dict[str, list[str]] = {}
+        chars: dict[str, int] = {}
+
+        def count(lang):
+            sums.setdefault(lang, []).append(grams(" ".join(waiting.pop(lang))))
+            chars[lang] = 0
+            if sum(len(k) for k, _ in sums[lang]) > MERGE:
+                sums[lang] = [summed(sums[lang])]
 
         def out():
-            for lang, (k, n) in sums.items():
+            for lang, parts in sums.items():
+                k, n = summed(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            sums.clear()
 
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                k, n = whole_grams(" ".join(texts))
-                if lang in sums:
-                    k, where = np.unique(np.concatenate([sums[lang][0], k]), return_inverse=True)
-                    n = np.bincount(where, np.concatenate([sums[lang][1], n])).astype(np.int64)
-                sums[lang] = k, n
-            if sum(len(k) for k, _ in sums.values()) > 2_000_000:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                lang, text = lang.as_py(), text.as_py()
+                waiting.setdefault(lang, []).append(text)
+                chars[lang] = chars.get(lang, 0) + len(text)
+                if chars[lang] >= STRETCH:
+                    count(lang)
+            if sum(len(k) for parts in sums.values() for k, _ in parts) > 8 * MERGE:
                 yield from out()
-                sums = {}
+        for lang in list(waiting):
+            count(lang)
         yield from out()
 
     parts = docs.select(F.col(lang_col).cast("string"), text_or_empty(text_col)).mapInArrow(run, "lang string, gram bigint, n bigint")
@@ -111,7 +129,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 
 
 def rank_text(text: str, langs: list[str], keys: np.ndarray, ranks: np.ndarray, top: int, size: int) -> tuple[str, float]:
-    own, n = whole_grams(text)
+    own, n = grams(text)
     if not len(own) or not langs:
         return "und", 0.0
     if len(own) > top:  # all that may be among the first, then in order

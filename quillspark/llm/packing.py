@@ -9,7 +9,8 @@ then finds its place from its length and its rank among the pieces of that lengt
 
 Defined results: a null or empty text is the single end id; only documents longer than
 `capacity` are cut, into full pieces and a rest; ties among equal lengths are broken by
-the order of the pieces table; repeated rows are packed each on their own; columns other
+the order of the pieces table; the text of a special token is that token's id, as the
+tokenizer has it by default; repeated rows are packed each on their own; columns other
 than id and text are ignored, whatever their names.
 """
 
@@ -117,7 +118,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Special tokens' own texts stand for their ids; a text that holds one is encoded as a whole.
+        self.special = [getattr(t, "content", str(t)) for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -159,8 +161,12 @@ class WordTokenizer:
         """Each text's ids as little-endian 32-bit numbers."""
         if len(self.words) >= MEMO:
             self.words.clear()
-        cut, new, known = [], {}, self.words
-        for text in texts:
+        cut, new, known, whole = [], {}, self.words, {}
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                whole[i] = self._encode(text).tobytes()
+                cut.append([])
+                continue
             try:
                 text.encode("latin-1")
                 text = text.lower()  # for these letters the same as the tokenizer's own lowering
@@ -173,7 +179,7 @@ class WordTokenizer:
                     new[p] = None
         if new:
             self._learn(list(new))
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        return [whole[i] if i in whole else b"".join(map(known.__getitem__, parts)) for i, parts in enumerate(cut)]
 
 
 @lru_cache(maxsize=2)

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,18 @@ from .common import Scratch, keep_rows, text_or_empty
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 SAMPLE, FEATURES = 20_000, 4096
-#: Distinct words remembered by a worker; a full memo starts anew.
-MEMO = 300_000
+#: Characters of words that a worker remembers, an entry's own cost included; a full memo starts anew.
+MEMO = 24_000_000
+#: Code points counted at once, which bounds a worker's memory.
+STRETCH = 1 << 16
 #: Letters that a symbol may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log costs of the channel: a symbol for a letter, a letter repeated, a letter spaced out.
 SWAP, REPEAT, SPACE = -1.5, -1.0, -0.5
 #: Letters drawn with several symbols; log cost of a letter written twice.
 DRAWN, DOUBLE = {"|_|": "u", "|-|": "h", "()": "o", "/\\": "a", "\\/": "v", "|)": "d", "|<": "k"}, -3.0
+#: Letters that a star within a word may hide.
+VOWELS = "aeiou"
 #: Classes of characters: space, a to z, 24 for other letters, digits, all else.
 CLASSES = 53
 
@@ -49,6 +55,8 @@ _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _SINGLE = re.compile(r"^[^\W_](?:[^\w\s]+[^\W_]){2,}$")
 _SEPARATOR = re.compile(r"[\s._*/\-,;:~^=#%&\\`\"'<>\[\]{}?)·•–—…]+")
 _MAYBE = re.compile(r"[^\W\d_]|@|\$\$")
+#: Checksums and the like, whose letters stand for nothing else.
+_DIGEST = re.compile(r"(?=[^0-9]*[0-9])[0-9a-f-]{12,}")
 _DECORATION = re.compile(r"([^\w\s])\1{2,}")
 
 _class_of: np.ndarray | None = None
@@ -78,13 +86,23 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches):
         total = np.zeros(CLASSES**3, np.int64)
+
+        def count(texts):
+            text = " ".join(texts).lower()
+            for k in range(0, len(text), STRETCH):
+                c = char_classes()[np.frombuffer(text[max(0, k - 2) : k + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+                if len(c) > 2:
+                    total[:] += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+
+        waiting, chars = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                text = " ".join(batch.column(0).slice(at, 500).to_pylist()).lower()
-                for k in range(0, len(text), 1 << 22):
-                    c = char_classes()[np.frombuffer(text[max(0, k - 2) : k + (1 << 22)].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-                    if len(c) > 2:
-                        total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+            for text in batch.column(0):
+                waiting.append(text.as_py())
+                chars += len(waiting[-1])
+                if chars >= STRETCH:
+                    count(waiting)
+                    waiting, chars = [], 0
+        count(waiting)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -107,7 +125,7 @@ class Channel:
     """restore() of disguised words by Viterbi search over a lattice."""
 
     def __init__(self, model: np.ndarray):
-        self.memo, self.classes = {}, {}
+        self.memo, self.room, self.classes = {}, MEMO, {}
         self.model = model.tolist()
         # whether a letter c written twice after a and before b is likelier meant once, by [a, c, b]
         c = np.arange(CLASSES)
@@ -168,7 +186,8 @@ class Channel:
             m = _SEPARATOR.match(word, i)
             if m:
                 fixed = m.group() == "'" and not spaced or not i or m.end() == len(word)
-                out.append([(" ", 0.0)] if fixed else [(" ", 0.0), ("", SPACE)])
+                hidden = VOWELS if m.group() in ("*", "#") and not fixed else ""
+                out.append([(" ", 0.0)] if fixed else [(" ", 0.0), ("", SPACE), *[(x, SWAP) for x in hidden]])
                 i = m.end()
                 continue
             n = 1
@@ -201,53 +220,81 @@ class Channel:
             if not _TWICE.search(core):
                 return core
             return self.decode(self.lattice(core)) if _REPEATED.search(core) else self.undouble(core)
-        if not core or not _MAYBE.search(core):
+        if not core or not _MAYBE.search(core) or _DIGEST.fullmatch(core):
             return core
         return self.decode(self.lattice(core, _SINGLE.match(core) is not None))
 
-    def words(self, text: str) -> set[str]:
-        """Distinct restored words of a text, those read from spaced letters among them."""
+    def read(self, text: str, make) -> set:
+        """What `make` says of the words restored from each token and from each run of spaced
+        letters; said once for each as long as it is remembered."""
         text = text.lower()
-        out: set[str] = set()
+        out: set = set()
+        memo = self.memo
         for m in _SPACED.finditer(text):
             run = m.group()
             if not _LETTER.search(run):
                 continue
-            if run not in self.memo:
-                self._keep(run, tuple(_WORD.findall(self.decode(self.lattice(run, True)))))
-            out.update(self.memo[run])
-        memo = self.memo
+            got = memo.get(run)
+            if got is None:
+                got = self._keep(run, make(_WORD.findall(self.decode(self.lattice(run, True)))))
+            out.update(got)
         for token in set(text.split()):
             got = memo.get(token)
             if got is None:
-                got = tuple(_WORD.findall(self.restore(token)))
-                self._keep(token, got)
-            out.update(got)
+                got = self._keep(token, make(_WORD.findall(self.restore(token))))
+            if got:
+                out.update(got)
         return out
 
-    def _keep(self, key: str, value: tuple) -> None:
-        if len(self.memo) >= MEMO:
+    def words(self, text: str) -> set[str]:
+        """Distinct restored words of a text, those read from spaced letters among them."""
+        return self.read(text, tuple)
+
+    def _keep(self, key: str, value: tuple) -> tuple:
+        self.room -= len(key) * (2 if value else 1) + 80
+        if self.room < 0:
             self.memo.clear()
+            self.room = MEMO
         self.memo[key] = value
+        return value
 
 
 def features(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:n] for n in (4, 5, 6) if len(word) >= n]]
 
 
-def _with_words(rows: DataFrame, model: np.ndarray, pick: dict[str, int] | None) -> DataFrame:
-    """(y, f): distinct features of each text, as strings or as the picked ones' numbers."""
+class Learned(NamedTuple):
+    """Character model, weights by feature, bias; the name tells models apart in a worker."""
+
+    model: np.ndarray
+    weights: dict[str, float]
+    bias: float
+    name: str
+
+
+def _features_of(rows: DataFrame, known: Learned) -> DataFrame:
+    """(y, f): distinct features of each text."""
+
+    def run(batches):
+        channel = _scorer(known).channel
+        channel.memo.clear()
+        for batch in batches:
+            out = [sorted({f for w in channel.words(text.as_py()) for f in features(w)}) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "f"])
+        channel.memo.clear()
+
+    return rows.select("y", "text").mapInArrow(run, "y int, f array<string>")
+
+
+def _picked(words: DataFrame, pick: dict[str, int]) -> DataFrame:
+    """(y, f): each text's picked features as 16-bit numbers in a row."""
 
     def run(batches):
-        channel = Channel(model)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                found = {f for w in channel.words(text.as_py()) for f in features(w)}
-                out.append(sorted(found) if pick is None else sorted(pick[f] for f in found if f in pick))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string() if pick is None else pa.int32()))], names=["y", "f"])
+            out = [np.array(sorted(pick[f] for f in found if f in pick), "<u2").tobytes() for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "f"])
 
-    return rows.select("y", "text").mapInArrow(run, f"y int, f array<{'string' if pick is None else 'int'}>")
+    return words.select("y", "f").mapInArrow(run, "y int, f binary")
 
 
 def _fit(y: np.ndarray, at: np.ndarray, row: np.ndarray, n: int, steps: int = 500, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -265,8 +312,8 @@ def _fit(y: np.ndarray, at: np.ndarray, row: np.ndarray, n: int, steps: int = 50
     return w, b
 
 
-def learn(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, dict[str, float], float]:
-    """Character model, weights by feature, and bias. `use` selects label rows."""
+def learn(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Learned:
+    """The model of texts and labels. `use` selects label rows."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     model = log_model(count_trigrams(docs, text_col))
     known = labels.where(use) if use is not None else labels
@@ -274,52 +321,59 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     some = scratch.cut(known.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE), "sample")
     rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "__id")  # SAMPLE rows at most
     rows = scratch.cut(rows.select("y", "text").repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism * 2)), "texts")
-    words = scratch.cut(_with_words(rows, model, None), "features")
+    name = uuid.uuid4().hex
+    words = scratch.cut(_features_of(rows, Learned(model, {}, 0.0, name)), "features")
     per = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(per) < 2:
-        return model, {}, -40.0
+        return Learned(model, {}, -40.0, name)
     df = words.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (per[1] + 1.0)) - F.log(b / (per[0] + 1.0))
     best = df.orderBy(F.desc(F.abs(odds) / F.sqrt(1 / a + 1 / b)), "f").limit(FEATURES).collect()
     pick = {r["f"]: i for i, r in enumerate(best)}
-    got = _with_words(rows, model, pick).collect()
+    got = _picked(words, pick).collect()  # SAMPLE rows, 2 bytes for each of FEATURES at most
     y = np.array([r["y"] for r in got], float)
-    row = np.repeat(np.arange(len(got)), [len(r["f"]) for r in got])
-    at = np.array([i for r in got for i in r["f"]], np.int64)
-    w, bias = _fit(y, at, row, len(pick))
-    return model, {f: float(w[i]) for f, i in pick.items()}, float(bias)
+    found = [np.frombuffer(r["f"], "<u2") for r in got]
+    row = np.repeat(np.arange(len(got)), [len(f) for f in found])
+    w, bias = _fit(y, np.concatenate(found).astype(np.int64), row, len(pick))
+    for used in (some, rows, words):
+        scratch.drop(used)
+    return Learned(model, {f: float(w[i]) for f, i in pick.items()}, float(bias), uuid.uuid4().hex)
 
 
 class Scorer:
-    """Scores of texts, with the restored words of a worker remembered."""
+    """Scores of texts, with what a worker's tokens say remembered."""
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float], bias: float):
-        self.channel, self.weights, self.bias = Channel(model), weights, bias
-        self.hits: dict[str, tuple[str, ...]] = {}
+    def __init__(self, learned: Learned):
+        self.channel, self.weights, self.bias = Channel(learned.model), learned.weights, learned.bias
+
+    def _said(self, words: list[str]) -> tuple[str, ...]:
+        return tuple(f for w in words for f in features(w) if f in self.weights)
 
     def score(self, text: str) -> float:
         if not self.weights:
             return 0.0
-        found: set[str] = set()
-        hits, weights = self.hits, self.weights
-        for w in self.channel.words(text):
-            got = hits.get(w)
-            if got is None:
-                if len(hits) >= MEMO:
-                    hits.clear()
-                got = hits[w] = tuple(f for f in features(w) if f in weights)
-            if got:
-                found.update(got)
+        found, weights = self.channel.read(text, self._said), self.weights
         z = self.bias + sum(weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
 
 
+_last: tuple[str, Scorer] | None = None
+
+
+def _scorer(learned: Learned) -> Scorer:
+    """A worker's scorer, kept from task to task as long as the model is the same."""
+    global _last
+    if _last is None or _last[0] != learned.name:
+        _last = learned.name, Scorer(learned)
+    return _last[1]
+
+
 def keep_clean(docs: DataFrame, learned, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below the threshold."""
 
     def make():
-        scorer = Scorer(*learned)
+        scorer = _scorer(learned)
         return lambda text: scorer.score(text) < threshold
 
     return keep_rows(docs, make, text_col)
@@ -327,12 +381,11 @@ def keep_clean(docs: DataFrame, learned, text_col: str = "text", threshold: floa
 
 def score(docs: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
     """(id, score, predicted), with the columns in `carry`."""
-    model, weights, bias = learned
     shape = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_or_empty(text_col).alias("__text"), *(carry or []))
     kept = [f for f in shape.schema.fields if f.name != "__text"]
 
     def run(batches):
-        scorer = Scorer(model, weights, bias)
+        scorer = _scorer(learned)
         for batch in batches:
             scores = [scorer.score(t.as_py()) for t in batch.column("__text")]
             cols = [batch.column(f.name) for f in kept] + [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]

@@ -244,9 +244,9 @@ def test_packing_equals_tokenizers(spark, odd_texts):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    rows = packing.pack(documents(spark, odd_texts), path).collect()
-    for i, t in enumerate(odd_texts):
+    texts = [*odd_texts, "x <|endoftext|> y", "<|startoftext|>A b<|endoftext|>c", "<|ENDOFTEXT|> <|endoftext |>", "é<|endoftext|>é " * 3000]
+    rows = packing.pack(documents(spark, texts), path).collect()
+    for i, t in enumerate(texts):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
         assert [(r["start"], r["length"]) for r in own] == [(a, min(4096, len(ids) - a)) for a in range(0, len(ids), 4096)]
@@ -272,9 +272,42 @@ def test_languages(spark, odd_texts):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
     kept = {r["doc_id"] for r in langid.keep_known(docs, model).collect()}
     assert set(range(200)) <= kept and not {200, 201, 202} & kept
-    long = " ".join(texts) * 200
-    k, n = langid.whole_grams(long)
-    assert dict(zip(*langid.grams(long))) == dict(zip(k, n))
+
+
+def plain_grams(text):
+    """N-grams of one to three letters word by word, edges marked by a blank."""
+    n = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        n.update(word)
+        n.update(a + b for a, b in zip(" " + word, word + " "))
+        n.update(a + b + c for a, b, c in zip(" " + word, word, word[1:] + " "))
+    return n
+
+
+def as_text(key):
+    return "".join(chr(key >> 21 * i & 0x1FFFFF) for i in (2, 1, 0) if key >> 21 * i & 0x1FFFFF)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 50, 1 << 16])
+def test_grams_equal_plain_count_at_any_stretch(odd_texts, stretch):
+    for text in [*[t or "" for t in odd_texts if stretch > 3 or len(t or "") < 7000], "ab  cd", "a", " a", "a ", "ΑΣ ΣΑ", "x" * 300 + "1" + "yz" * 90]:
+        assert {as_text(k): n for k, n in zip(*langid.grams(text, stretch))} == plain_grams(text)
+
+
+def test_predictions_equal_plain_out_of_place_distance(spark, odd_texts):
+    rng = random.Random(16)
+    made = {"xx": "abc", "yy": "bcd", "zz": "xyz"}
+    langs = {i: list(made)[i % 3] for i in range(90)}
+    texts = [" ".join("".join(rng.choice(made[langs[i]]) for _ in range(rng.randrange(1, 6))) for _ in range(40)) for i in range(90)] + odd_texts
+    docs = documents(spark, texts, langs)
+    order = lambda counts, top: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + [ord(c) for c in x[0]]))][:top]
+    profiles = {lang: order(plain_grams(" ".join(t for i, t in enumerate(texts) if langs.get(i) == lang)), langid.PROFILE) for lang in made}
+    for r in langid.predict(docs, langid.learn(docs)).collect():
+        own = order(plain_grams(texts[r["doc_id"]]), langid.TOP)
+        far = {lang: sum(min(abs(p.index(g) - i), langid.PROFILE) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        want = (best, 1 - far[best] / (langid.PROFILE * len(own))) if own else ("und", 0.0)
+        assert (r["lang_pred"], round(r["score"], 12)) == (want[0], round(want[1], 12))
 
 
 # Byte pairs
