@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keep_rows, text_or_empty
+from .common import ROWS, Scratch, keep_rows, text_or_empty
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 SAMPLE, FEATURES = 20_000, 4096
 #: Characters of words that a worker remembers, an entry's own cost included; a full memo starts anew.
-MEMO = 24_000_000
+MEMO = 16_000_000
 #: Code points counted at once, which bounds a worker's memory.
 STRETCH = 1 << 16
 #: Letters that a symbol may stand for.
@@ -279,8 +279,10 @@ def _features_of(rows: DataFrame, known: Learned) -> DataFrame:
         channel = _scorer(known).channel
         channel.memo.clear()
         for batch in batches:
-            out = [sorted({f for w in channel.words(text.as_py()) for f in features(w)}) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "f"])
+            for k in range(0, batch.num_rows, ROWS):
+                some = batch.slice(k, ROWS)
+                out = [sorted({f for w in channel.words(text.as_py()) for f in features(w)}) for text in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "f"])
         channel.memo.clear()
 
     return rows.select("y", "text").mapInArrow(run, "y int, f array<string>")
