@@ -434,6 +434,71 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+LONG = "A sentence of the article itself, with some words in it, tells what there is to tell. " * 3
+
+
+def test_the_cut_corrects_misjudged_blocks():
+    page = f"<nav><a href=1>One</a></nav><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p><a href=x>Short one</a></p><p>{LONG}a</p><p>{LONG}</p><p>Hm</p></article><footer>me</footer>"
+    found, z, keep = mincut.labelled(page)
+    assert [x > 0 for x in z] == [False, True, True, True, False, True, True, False, False]
+    assert keep == [False, True, True, True, True, True, True, True, False]
+    page = f"<div><div><a href=1>One</a></div><div><a href=2>Two</a></div><div>Three, in some words</div><div><a href=4>Four</a></div></div><section><h1>Title</h1><p>{LONG}</p><p>{LONG}b</p></section>"
+    found, z, keep = mincut.labelled(page)
+    assert keep == [False] * 4 + [True] * 3 and mincut.main_text(page).startswith("Title")
+
+
+def test_labels_are_the_cheapest_of_all():
+    """Brute force over every labelling of small pages made at random."""
+    rng = random.Random(21)
+    parts = ["<p>%s</p>", "<div class=ad>%s</div>", "<li><a href=1>%s</a></li>", "<div>%s</div>", "<h2>%s</h2>", "<aside>%s</aside>", "<section class=post><p>%s</p></section>"]
+    changed = 0
+    for _ in range(150):
+        page = "".join(rng.choice(parts) % " ".join("word" for _ in range(rng.choice([1, 3, 60]))) for _ in range(rng.randrange(1, 9)))
+        page = rng.choice(["<article>%s</article>", "<div>%s</div>", "<main><div>%s</div></main>"]) % page + "<footer>end</footer>"
+        found, parent, depth = mincut.blocks(page)
+        mincut.settle(found)
+        z, edges = mincut.costs(found), mincut.neighbours(found, parent, depth)
+
+        def cost(side):
+            return sum(max(0.0, -x) if k else max(0.0, x) for x, k in zip(z, side)) + sum(c for a, b, c in edges if side[a] != side[b])
+
+        _, _, keep = mincut.labelled(page)
+        best = min(cost([bool(m >> i & 1) for i in range(len(found))]) for m in range(1 << len(found)))
+        assert abs(cost(keep) - best) < 1e-2
+        changed += keep != [x > 0 for x in z]
+    assert changed > 5
+
+
+def test_text_of_plain_pages_equals_their_articles(spark):
+    """The tables' pages hold one article each, which an expression finds as well."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in mincut.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)
+        if inner:
+            parts = re.split(r"</?(?:p|h1|ul|li|div|blockquote|h2)>", re.sub(r"<br>", " ", inner[1]))
+            want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+            assert got[r["page_id"]] == "\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize("part", ["<div class='ad'>%s</div>", "<p class='advert'>%s</p>", "<aside><p>%s</p><p>%s</p></aside>", "<section class='newsletter'><h3>Join</h3><p>%s</p></section>", "<form><p>%s</p><button>Go</button></form>", "<p hidden>%s</p>", "<div id='comments'><div class='comment'><p>%s</p></div><div class='comment'><p>%s</p></div></div>", "<ul class='social-share'><li><a>tw</a></li></ul>", "<div class='notice'>%s</div>", "<nav><a>%s</a></nav>"])
+def test_parts_of_an_article_that_are_none_of_it(part):
+    part = part.replace("%s", LONG)
+    for page in (f"<article><h1>Title</h1><p>{LONG}</p>{part}<p>Short.</p><p>{LONG}</p></article>", f"{part}<article><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></article>", f"<div class='content'><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>{part}"):
+        assert mincut.main_text(page) == f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}"
+
+
+def test_very_long_and_empty_pages(spark):
+    rows = [(1, "u", "<article>" + "<p>Some words of it.</p>" * 20_000 + "</article>"), (2, "u", "<div>" * 3000 + "deep" + "</div>" * 3000), (3, "u", "<article><p>" + "x" * 500_000 + "</p></article>"), (3, "u", "<p>same</p>"), (3, "u", "<p>same</p>")]
+    schema = "page_id long, url string, html string"
+    got = [r for r in mincut.extract(spark.createDataFrame(rows, schema).withColumns({"text": F.lit("t"), "n_chars": F.lit(1)})).collect()]
+    by = {}
+    for r in got:
+        by.setdefault(r["page_id"], []).append(r["text"])
+    assert len(by[1][0].split("\n")) == 20_000 and by[2] == ["deep"] and sorted(map(len, by[3])) == [4, 4, 500_000]
+    assert mincut.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("around", ['<body class="single has-sidebar">%s</body>', '<html class="nav-open"><body class="no-sidebar with-comments">%s</body></html>', '<main class="has-sidebar">%s</main>', '<div class="layout has-sidebar"><div class="with-comments">%s</div></div>'])
 @pytest.mark.parametrize("article", ["<article>", '<article class="post category-legal tag-search">', '<article class="share">', '<main class="with-comments">'])
 def test_names_around_an_article_lose_nothing(around, article):
