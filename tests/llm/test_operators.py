@@ -389,6 +389,48 @@ def test_top_k_equals_brute_force(spark, scale):
         assert sorted(got[q]) == [(k + 1, i, -v) for k, (v, i) in enumerate(s)]
 
 
+def brute_top(x, ids, q, k=20):
+    s = sorted((-sum(int(a) * int(b) for a, b in zip(x[q], x[i])), ids[i]) for i in range(len(x)) if ids[i] != ids[q])[:k]
+    return [(v, -n) for n, v in s]
+
+
+def test_top_k_stops_on_proof():
+    """Few great components decide: segments of lesser impact are never processed."""
+    rng = np.random.RandomState(12)
+    x = rng.randint(-1, 2, (3000, 40))
+    for i in range(3000):
+        x[i, rng.choice(40, 6, replace=False)] = rng.randint(2000, 6400, 6) * rng.choice([-1, 1], 6)
+    ids, said, got = np.arange(3000), {}, {}
+    index = topk.Index(x)
+    assert list(index.segments) == sorted(index.segments, reverse=True) and sum(index.postings.values()) == np.count_nonzero(x)
+    for r, c, score in topk.best_of_index(x[:60], ids[:60], index, ids, 20, said):
+        for a, b, n in zip(r, c, score):
+            got.setdefault(a, []).append((b, n))
+    assert all(got[q] == brute_top(x, ids, q) for q in range(60))
+    assert said["done"] < 0.6 * said["all"]
+
+
+def test_top_k_of_odd_vectors(spark, monkeypatch):
+    """Repeated ids and rows, zeros, unequal and great widths, several blocks and query batches."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "INDEX", 20)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rng = np.random.RandomState(13)
+    x = [np.round(rng.randn(rng.choice([1, 3, 9])), 1) for _ in range(250)] + [np.zeros(4)] * 30 + [np.ones(3)] * 60 + [np.round(rng.randn(6000), 1)] * 2
+    ids = [*range(340), 340, 340]
+    schema = "vec_id long, embedding array<double>, label int, xb int, side int"
+    rows = [(i, v.tolist(), 0, 1, 2) for i, v in zip(ids, x)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    m = np.zeros((len(x), 6000), int)
+    for i, v in enumerate(x):
+        m[i, : len(v)] = np.floor(64 * v)
+    for q in range(0, 340, 20):
+        assert sorted(got[q]) == [(i + 1, *t) for i, t in enumerate(brute_top(m, ids, q, 5))]
+    assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
+
+
 # Chats and pages
 
 
