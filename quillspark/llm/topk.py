@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 #: Candidates in a block at most, and numbers in it; queries that meet an index at once; candidates in an index.
 BLOCK, NUMBERS, QUERIES, INDEX = 1 << 15, 1 << 22, 256, 4096
 #: A segment's impacts are within this factor of each other.
-BASE = 1.25
+BASE = 1.5
 #: A query stops when at most this share of the candidates is possible; possible members rescored at once.
 SHARE, RESCORED = 0.02, 1 << 14
-#: What doubles may be off by, in shares of the lengths' product.
-SLACK = 1e-12
+#: What sums of 32-bit floats may be off by, in shares of the lengths' product, for each of their terms.
+SLACK = 1.2e-7
 
 
 class Index:
@@ -49,7 +49,7 @@ class Index:
         cut = np.flatnonzero((np.diff(level) != 0) | (np.diff(j) != 0)) + 1
         starts = np.concatenate([[0], cut]) if len(c) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(c))
-        values = x[c, j].astype(float)
+        values = x[c, j]
         #: impact -> segments (dimension, candidates, components)
         self.segments: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         #: impact -> length of what each candidate has in lesser impacts
@@ -58,10 +58,10 @@ class Index:
         self.length = np.sqrt(rest)
         self.postings: dict[int, int] = {}
         for s, e in zip(starts, ends):
-            self.segments.setdefault(int(level[s]), []).append((int(j[s]), c[s:e], values[s:e]))
+            self.segments.setdefault(int(level[s]), []).append((int(j[s]), c[s:e], values[s:e].astype(np.float32)[:, None]))
         for impact, some in self.segments.items():  # inserted in descending order
             for _, cs, v in some:
-                rest[cs] -= v * v  # a segment has each candidate once
+                rest[cs] -= v[:, 0].astype(float) ** 2  # a segment has each candidate once
             self.left[impact] = np.sqrt(np.maximum(rest, 0.0))
             self.postings[impact] = sum(len(cs) for _, cs, _ in some)
 
@@ -70,28 +70,30 @@ def best_of_index(q: np.ndarray, qid: np.ndarray, index: Index, xid: np.ndarray,
     """(query rows, candidate rows, scores), in parts, of the k best of each query.
     said: gets the numbers of postings processed and in all, for each query together."""
     nq, nx = len(q), len(xid)
-    qf = q.astype(float)
-    qlen = np.sqrt((qf * qf).sum(axis=1))
+    qlen = np.sqrt((q.astype(float) ** 2).sum(axis=1))
+    slack = SLACK * (q.shape[1] + 10) * index.length
     own = qid[:, None] == xid[None, :]
-    partial = np.zeros((nx, nq))  # a segment's candidates are rows
+    partial = np.zeros((nx, nq), np.float32)  # a segment's candidates are rows
     active = np.arange(nq)
     possible: list[tuple[np.ndarray, np.ndarray]] = []
     done, total = 0, sum(index.postings.values())
     impacts = list(index.segments)
     # a proof is tried where what is left has become a fifth smaller since the last one
-    last = float(np.median(index.length)) if nx else 0.0
+    last = float(np.sqrt((index.length**2).mean())) if nx else 0.0
     for n, impact in enumerate(impacts):
-        qt = np.ascontiguousarray(qf[active].T)
+        qt = np.ascontiguousarray(q[active].T, dtype=np.float32)
         for j, cs, v in index.segments[impact]:
-            partial[cs] += v[:, None] * qt[j][None, :]
+            some = partial.take(cs, axis=0)
+            some += v * qt[j]
+            partial[cs] = some
         done += index.postings[impact] * len(active)
         left, end = index.left[impact], n == len(impacts) - 1
-        now = float(np.median(left))
+        now = float(np.sqrt((left**2).mean()))
         if not end and (nx <= k or now > 0.8 * last):
             continue
         last = now
         s = partial.T
-        bound = qlen[active][:, None] * ((0.0 if end else left * (1 + 1e-9)) + SLACK * index.length)[None, :]
+        bound = qlen[active][:, None] * ((0.0 if end else left * (1 + 1e-6)) + slack)[None, :]
         may = _possible(s, bound, own[active], k)
         stop = np.ones(len(active), bool) if end else may.sum(axis=1) <= max(4 * k, SHARE * nx)
         if stop.any():
@@ -197,7 +199,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
     # rows of one id and rows that are alike are dealt to all blocks
     xs = rows.select(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(nx)).cast("int").alias("xb"), F.lit(0).alias("side"), "id", "v")
     qs = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"), F.lit(1).alias("side"), "id", "v")
-    met = xs.unionByName(qs).repartition(nx, "xb").sortWithinPartitions("xb", "side")
+    met = xs.unionByName(qs).repartitionById(nx, F.col("xb")).sortWithinPartitions("xb", "side")
     found = met.mapInArrow(lambda batches: _met(batches, k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
