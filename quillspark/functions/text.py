@@ -27,6 +27,32 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: Items that `scan` walks before it puts their results away.
+SCAN = 256
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """array<kind> of what `step` gives along an array: it makes the next state and an array of
+    results from a state and an item. Results are gathered by stretches of `SCAN` items, so
+    that no growing array is copied for each item. The state is a struct."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(s: Column, x: Column) -> Column:
+        state, out = step(s["state"], x)
+        return F.struct(state.alias("state"), F.concat(s["out"], out).alias("out"))
+
+    def stretch(s: Column, some: Column) -> Column:
+        walked = F.aggregate(some, F.struct(s["state"].alias("state"), none.alias("out")), one)
+        return let(walked, lambda w: F.struct(w["state"].alias("state"), F.concat(s["out"], F.array(w["out"])).alias("out")))
+
+    def walk(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SCAN).cast("int")), lambda i: F.slice(all_, (i * SCAN + 1).cast("int"), SCAN))
+        begin = F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+        return F.when(F.size(all_) > 0, F.aggregate(cut, begin, stretch, lambda s: F.flatten(s["out"]))).otherwise(none)
+
+    return let(items, walk)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"\A{WS}+", ""), rf"{WS}+\z", "")
 
@@ -113,21 +139,16 @@ def markdown_headers(c: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, m>> of an expression's matches, start counted from 0: what lies
     between matches gives the places."""
-    empty = F.expr("cast(array() as array<struct<start:int,m:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        def add(at: Column) -> Column:
-            return F.struct((at + F.length(x["m"])).cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("start"), x["m"].alias("m")))).alias("out"))
 
-        return let((s["at"] + F.length(x["p"])).cast("int"), add)
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        at = (s["at"] + F.length(x["p"])).cast("int")
+        return F.struct((at + F.length(x["m"])).cast("int").alias("at")), F.array(F.struct(at.alias("start"), x["m"].alias("m")))
 
     def placed(t: Column) -> Column:
         def walk(found: Column) -> Column:
-            pairs = F.zip_with(found, F.slice(F.split(t, pattern), F.lit(1), F.size(found)), lambda m, p: F.struct(p.alias("p"), m.alias("m")))
-            return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+            return F.zip_with(found, F.slice(F.split(t, pattern), F.lit(1), F.size(found)), lambda m, p: F.struct(p.alias("p"), m.alias("m")))
 
-        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), walk)
+        return scan(let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), walk), F.struct(F.lit(0).alias("at")), step, "struct<start:int,m:string>")
 
     return let(text, placed)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, cut_at, is_blank, let, spans, splitlines, strip
+from ..functions.text import WS, cut_at, is_blank, let, scan, spans, splitlines, strip
 from . import extract as X
 from .tables import table_context
 
@@ -85,18 +85,16 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
 
 def _refill(text: Column, separator: str, size: int) -> Column:
     """Parts put together again as long as they fit."""
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, part: Column) -> Column:
-        def fit(both: Column) -> Column:
-            fits = F.length(both) <= size
-            spill = F.when(fits | (s["now"] == ""), s["out"]).otherwise(F.concat(s["out"], F.array(s["now"])))
-            return F.struct(F.when(fits, both).otherwise(part).alias("now"), spill.alias("out"))
+    def step(s: Column, part: Column) -> tuple[Column, Column]:
+        both = F.when(s["now"] == "", part).otherwise(F.concat(s["now"], F.lit(separator), part))
+        fits = F.length(s["now"]) + F.when(s["now"] == "", 0).otherwise(len(separator)) + F.length(part) <= size
+        spill = F.when(fits | (s["now"] == ""), F.array().cast("array<string>")).otherwise(F.array(s["now"]))
+        return F.struct(F.when(fits, both).otherwise(part).alias("now")), spill
 
-        return let(F.when(s["now"] == "", part).otherwise(F.concat(s["now"], F.lit(separator), part)), fit)
-
-    parts = F.split(text, "\\Q" + separator + "\\E")
-    return F.aggregate(parts, start, step, lambda s: F.when(s["now"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+    # a last part that never fits pushes the rest out, and is dropped itself
+    parts = F.concat(F.split(text, "\\Q" + separator + "\\E"), F.array(F.repeat(F.lit("x"), F.lit(size + 1))))
+    return scan(parts, F.struct(F.lit("").alias("now")), step, "string")
 
 
 def recursive_pieces(text: Column, size: int) -> Column:
@@ -115,15 +113,12 @@ def recursive_split(text: Column, size: int, overlap: int) -> Column:
     """Pieces, each after the first led by the end of the one before."""
     if overlap <= 0:
         return recursive_pieces(text, size)
-    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        def add(t: Column) -> Column:
-            return F.struct(F.when(t == "", s["tail"]).otherwise(F.right(t, F.lit(overlap))).alias("tail"), F.when(t == "", s["out"]).otherwise(F.concat(s["out"], F.array(t))).alias("out"))
 
-        return let(strip(F.concat(s["tail"], p)), add)
+    def step(s: Column, p: Column) -> tuple[Column, Column]:
+        t = strip(F.concat(s["tail"], p))
+        return F.struct(F.when(t == "", s["tail"]).otherwise(F.right(t, F.lit(overlap))).alias("tail")), F.filter(F.array(t), lambda x: x != "")
 
-    return F.aggregate(recursive_pieces(text, size), start, step, lambda s: s["out"])
+    return scan(recursive_pieces(text, size), F.struct(F.lit("").alias("tail")), step, "string")
 
 
 # What a unit's chunk says besides its text.
