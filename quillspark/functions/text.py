@@ -33,8 +33,9 @@ SCAN = 256
 
 def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """array<kind> of what `step` gives along an array: it makes the next state and an array of
-    results from a state and an item. Results are gathered by stretches of `SCAN` items, so
-    that no growing array is copied for each item. The state is a struct."""
+    results from a state and an item. A fold copies all it holds at each step, so results are
+    gathered by stretches of `SCAN` items, and best are numbers that tell places in other
+    arrays. The state is a struct."""
     none = F.expr(f"cast(array() as array<{kind}>)")
 
     def one(s: Column, x: Column) -> Column:
@@ -140,19 +141,26 @@ def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, m>> of an expression's matches, start counted from 0: what lies
     between matches gives the places."""
 
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        at = (s["at"] + F.length(x["p"])).cast("int")
-        return F.struct((at + F.length(x["m"])).cast("int").alias("at")), F.array(F.struct(at.alias("start"), x["m"].alias("m")))
-
     def placed(t: Column) -> Column:
         def walk(found: Column) -> Column:
-            return F.zip_with(found, F.slice(F.split(t, pattern), F.lit(1), F.size(found)), lambda m, p: F.struct(p.alias("p"), m.alias("m")))
+            return F.zip_with(found, starts(F.split(t, pattern), found), lambda m, at: F.struct(at.alias("start"), m.alias("m")))
 
-        return scan(let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), walk), F.struct(F.lit(0).alias("at")), step, "struct<start:int,m:string>")
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), walk)
 
     return let(text, placed)
 
 
+def starts(between: Column, found: Column) -> Column:
+    """array<int>: where each match starts, from the texts before, between and after matches."""
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        at = s["at"] + x["p"]
+        return F.struct((at + x["m"]).alias("at")), F.array(at)
+
+    sizes = let(found, lambda f: F.zip_with(f, F.slice(between, F.lit(1), F.size(f)), lambda m, p: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))))
+    return scan(sizes, F.struct(F.lit(0).alias("at")), step, "int")
+
+
 def cut_at(text: Column, marks: Column) -> Column:
     """The text from each mark (ascending array<int> of starts) to the next or the end."""
 

@@ -84,17 +84,23 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
 
 
 def _refill(text: Column, separator: str, size: int) -> Column:
-    """Parts put together again as long as they fit."""
-
-    def step(s: Column, part: Column) -> tuple[Column, Column]:
-        both = F.when(s["now"] == "", part).otherwise(F.concat(s["now"], F.lit(separator), part))
-        fits = F.length(s["now"]) + F.when(s["now"] == "", 0).otherwise(len(separator)) + F.length(part) <= size
-        spill = F.when(fits | (s["now"] == ""), F.array().cast("array<string>")).otherwise(F.array(s["now"]))
-        return F.struct(F.when(fits, both).otherwise(part).alias("now")), spill
-
-    # a last part that never fits pushes the rest out, and is dropped itself
-    parts = F.concat(F.split(text, "\\Q" + separator + "\\E"), F.array(F.repeat(F.lit("x"), F.lit(size + 1))))
-    return scan(parts, F.struct(F.lit("").alias("now")), step, "string")
+    """Parts put together again as long as they fit: a walk along their lengths says which."""
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        empty = s["long"] == 0
+        both = F.when(empty, x["n"]).otherwise(s["long"] + len(separator) + x["n"])
+        fits = both <= size
+        spill = F.when(fits | empty, F.array().cast("array<struct<first:int,n:int>>")).otherwise(F.array(F.struct(s["first"].alias("first"), (x["i"] - s["first"]).alias("n"))))
+        return F.struct(F.when(fits, both).otherwise(x["n"]).cast("int").alias("long"), F.when(empty | ~fits, x["i"]).otherwise(s["first"]).alias("first")), spill
+
+    def joined(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i")))
+        # a last part that never fits pushes the rest out, and is dropped itself
+        sizes = F.concat(sizes, F.array(F.struct(F.lit(size + 1).alias("n"), F.size(parts).alias("i"))))
+        runs = scan(sizes, F.struct(F.lit(0).alias("long"), F.lit(0).alias("first")), step, "struct<first:int,n:int>")
+        return F.transform(runs, lambda r: F.array_join(F.slice(parts, r["first"] + 1, r["n"]), separator))
+
+    return let(F.split(text, "\\Q" + separator + "\\E"), joined)
 
 
 def recursive_pieces(text: Column, size: int) -> Column:
