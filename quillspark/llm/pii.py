@@ -13,15 +13,19 @@ then make spans of instances no base expression knows.
 Defined results: a null text is empty and has no spans; base spans of one kind never
 overlap and failing matches are dropped without another try; spans of several kinds
 may share text; found spans never touch base spans, and of overlapping ones the first and
-longest stays; an instance without a word beside it has no pattern; repeated rows are each annotated;
+longest stays; an instance without a word beside it has no pattern; words of any length are context;
+repeated rows are each annotated and count as often; an empty table has no patterns and no rows;
 columns other than id and text are kept by `redact` and ignored by `annotate`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, scan, starts
 from .common import Scratch, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,7 +39,7 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for at all.
 HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
-TOKEN = r"\S*[0-9@]\S*"
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Numbers joined by blanks and the like, up to the end of the last one's token.
 RUN = r"(?<!\S)[\[\"'<]*+[+(]*+[0-9]++(?:[\x20().-]++[0-9]++)++(?![^\s.,;:!?)\]\"'>])"
 #: Rounds of the bootstrap, least confidence of a pattern, and least trusted instances it needs.
@@ -70,30 +74,42 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
+MATCH = "struct<start:int,end:int,m:string,before:string,after:string>"
+#: The last two words of a text with the white space after them, and what stands after that.
+TAIL = r"(?<!\S)(?:\S++\s++){0,2}+\S*+\z"
+#: The first word of a text after what is left of the word before.
+HEAD = r"\A\S*+\s++\S++"
+MENTION = "struct<start:int,ord:int,end:int,instance:string,kind:string,before:string,after:string,seed:boolean>"
+CUT = "struct<`from`:int,`to`:int,i:int>"
+#: Characters in a page of a text; places are looked up within pages.
+PAGE = 2048
+
+
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """array<MATCH> of an expression's matches: the texts between them give the places. With
+    context, the two words before a match and the one after it, as far as the two matches
+    before it and the one after it reach."""
+    empty = F.expr(f"cast(array() as array<{MATCH}>)")
+    none = F.lit("")
 
+    def near(parts: Column, i: Column) -> Column:
+        return F.coalesce(F.get(parts, i), none)
 
-def matches(text: Column, pattern: str, tail: int = 0) -> Column:
-    """array<struct<start, end, m, before, after>> of an expression's matches: the text between
-    them gives the places, and `tail` characters before each are kept, and as many after it
-    up to the end of the next."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    def walk(t: Column, found: Column) -> Column:
+        def placed(between: Column, at: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = F.get(at, i)
+                before = after = none
+                if context:
+                    before = F.regexp_extract(F.concat(near(found, i - 2), near(between, i - 1), near(found, i - 1), near(between, i)), TAIL, 0)
+                    after = F.regexp_extract(F.concat(near(between, i + 1), near(found, i + 1)), HEAD, 0)
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), before.alias("before"), after.alias("after"))
 
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["p"])
-        end = at + F.length(x["m"])
-        before = F.right(x["p"], F.lit(tail)) if tail else F.lit("")
-        one = F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("m"), before.alias("before"), x["n"].alias("after"))
-        return F.struct(end.cast("int").alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+            return F.transform(found, one)
 
-    n = F.greatest(F.size(found), F.lit(0))
-    pairs = F.zip_with(found, F.slice(between, 1, n), lambda m, p: F.struct(p.alias("p"), m.alias("m"), F.lit("").alias("n")))
-    if tail:
-        after = F.zip_with(F.slice(between, 2, n), F.slice(found, 2, n), lambda p, m: F.left(F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit(""))), F.lit(tail)))
-        pairs = F.zip_with(pairs, after, lambda x, a: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.coalesce(a, F.lit("")).alias("n")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+        return F.when(F.size(found) > 0, let(F.split(t, pattern), lambda b: let(starts(b, found), lambda at: placed(b, at)))).otherwise(empty)
+
+    return let(text, lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: walk(t, found)))
 
 
 def _of_kind(found: Column, order: int, kind: str) -> Column:
@@ -111,7 +127,7 @@ def base_spans(text: Column) -> Column:
     parts = []
     for k, kind in enumerate(KINDS):
         hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else digit
-        none = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
+        none = F.expr(f"cast(array() as array<{MATCH}>)")
         parts.append(_of_kind(F.when(hint, matches(text, PATTERNS[kind])).otherwise(none), k, kind))
     return F.when(digit, F.array_sort(F.concat(*parts))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
@@ -139,34 +155,77 @@ def _patterns(before: Column, after: Column) -> Column:
     return F.array_compact(F.array(*[F.when(w != "", F.concat(F.lit(place), F.lower(w))) for place, w in (("2<", two), ("1<", one), ("1>", next_))]))
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """The text with base spans written over by letters."""
-    def step(t: Column, s: Column) -> Column:
-        return F.concat(F.substring(t, F.lit(1), s["start"]), F.repeat(F.lit("x"), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t)))
-    return F.when(F.size(base) > 0, F.aggregate(base, text, step)).otherwise(text)
+def _over(kind: str) -> Callable[[Column], Column]:
+    def over(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: F.when(_valid(kind, m), F.repeat(F.lit("x"), F.length(m))).otherwise(m))
+        joined = F.array_join(F.zip_with(F.split(text, PATTERNS[kind]), found, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+        return F.when(F.contains(text, F.lit(HINTS[kind])), joined).otherwise(text) if HINTS[kind] else joined
+
+    return over
+
+
+def _masked(text: Column) -> Column:
+    """The text with base spans written over by letters, kind by kind."""
+    for kind in KINDS:
+        text = let(text, _over(kind))
+    return text
+
+
+def _beside(found: Column, base: Column) -> Column:
+    """array<MENTION> of the matches, without the signs around them, that have some kind's
+    shape and share no text with a base span. Both stand in order and no two matches
+    overlap, so one walk along both tells."""
+
+    def core(x: Column) -> Column:
+        def cut(rest: Column) -> Column:
+            def place(said: Column) -> Column:
+                start = (x["start"] + F.length(x["m"]) - F.length(rest)).cast("int")
+                return F.struct(start.alias("start"), F.lit(1).alias("ord"), (start + F.length(said)).cast("int").alias("end"), said.alias("instance"), _loose_kind(said).alias("kind"), x["before"].alias("before"), x["after"].alias("after"), F.lit(False).alias("seed"))
+
+            return let(F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", ""), place)
+
+        return let(F.regexp_replace(x["m"], r"^[^\p{L}\p{N}+(]+", ""), cut)
+
+    def walk(cores: Column) -> Column:
+        event = lambda x, order, i: F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), i.alias("i"))
+        end = F.lit(2**31 - 1)
+        events = F.concat(F.transform(base, lambda x, i: event(x, 0, i)), F.transform(cores, lambda x, i: event(x, 1, i)))
+        last = F.array(F.struct(end.alias("start"), F.lit(1).alias("ord"), end.alias("end"), F.lit(-1).alias("i")))
+        start = F.struct(F.lit(0).alias("reach"), F.lit(-1).alias("free"), F.lit(0).alias("end"))
+        return F.transform(scan(F.concat(F.array_sort(events), last), start, step, "int"), lambda i: F.get(cores, i))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        # free: the number of the match at hand while no span is known to touch it, else -1
+        is_match = x["ord"] == 1
+        reach = F.when(is_match, s["reach"]).otherwise(F.greatest(s["reach"], x["end"]))
+        free = F.when(is_match, F.when(s["reach"] <= x["start"], x["i"]).otherwise(-1)).otherwise(F.when(x["start"] >= s["end"], s["free"]).otherwise(-1))
+        state = F.struct(reach.alias("reach"), free.alias("free"), F.when(is_match, x["end"]).otherwise(s["end"]).alias("end"))
+        return state, F.filter(F.array(F.when(is_match, s["free"]).otherwise(-1)), lambda i: i >= 0)
+
+    return let(F.filter(F.transform(found, core), lambda x: x["kind"].isNotNull() & (x["instance"] != "")), walk)
+
+
+def _known(kind: str) -> Column:
+    """array<MENTION> of a kind's base spans."""
+
+    def one(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(0).alias("ord"), x["end"].alias("end"), x["m"].alias("instance"), F.lit(kind).alias("kind"), x["before"].alias("before"), x["after"].alias("after"), F.lit(True).alias("seed"))
+
+    found = F.transform(F.filter(matches(F.col("text"), PATTERNS[kind], context=True), lambda x: _valid(kind, x["m"])), one)
+    return F.when(F.exists("base", lambda s: s["kind"] == kind), found).otherwise(F.expr(f"cast(array() as array<{MENTION}>)"))
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
-    """(rid, start, end, instance, patterns, kind, seed): base spans, and other tokens with a
+    """(rid, start, end, instance, pattern, kind, seed): base spans, and other tokens with a
     digit or @ and runs of numbers whose shape could be of some kind."""
-    some = rows.where(F.col("text").rlike("[0-9@]"))
-    text = F.col("text")
-    known = some.select("rid", "text", F.explode("base").alias("s"))
-    before = F.substring(text, F.greatest(F.col("s.start") - 100, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(100)))
-    after = F.substring(text, F.col("s.end") + 1, F.lit(100))
-    known = known.select("rid", "s.start", "s.end", F.substring(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("instance"), _patterns(before, after).alias("patterns"), "s.kind", F.lit(True).alias("seed"))
-    head = r"^[^\p{L}\p{N}+(]+"
+    text, base = F.col("text"), F.col("base")
     part = text.rlike(r"[0-9][().-]*\x20[\x20().-]*[0-9]")
-    runs = some.where(part).select("rid", "base", _masked(text, F.col("base")).alias("text"))
-    runs = runs.select("rid", "base", F.explode(F.filter(matches(text, RUN, tail=100), lambda x: F.contains(x["m"], F.lit(" ")))).alias("x"))
-    t = some.select("rid", "base", F.explode(matches(text, TOKEN, tail=100)).alias("x")).unionByName(runs)
-    rest = F.regexp_replace("x.m", head, "")
-    core = F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", "")
-    start = (F.col("x.start") + F.length("x.m") - F.length(rest)).cast("int")
-    t = t.select("rid", "base", start.alias("start"), (start + F.length(core)).cast("int").alias("end"), core.alias("instance"), _patterns(F.col("x.before"), F.col("x.after")).alias("patterns"))
-    t = t.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    t = t.select("rid", "start", "end", "instance", "patterns", _loose_kind(F.col("instance")).alias("kind"), F.lit(False).alias("seed"))
-    return known.unionByName(t).where("kind is not null and instance <> '' and size(patterns) > 0").select("rid", "start", "end", "instance", F.explode("patterns").alias("pattern"), "kind", "seed")
+    masked = F.when(~part, F.lit("")).when(F.size(base) > 0, _masked(text)).otherwise(text)
+    runs = F.filter(matches(masked, RUN, context=True), lambda x: F.contains(x["m"], F.lit(" ")))
+    every = F.concat(*[_known(kind) for kind in KINDS], _beside(matches(text, TOKEN, context=True), base), _beside(runs, base))
+    x = rows.where(text.rlike("[0-9@]")).select("rid", F.explode(every).alias("x"))
+    x = x.select("rid", *[F.col(f"x.{c}").alias(c) for c in ("start", "end", "instance", "kind", "seed")], F.explode(_patterns(F.col("x.before"), F.col("x.after"))).alias("pattern"))
+    return x.select("rid", "start", "end", "instance", "pattern", "kind", "seed")
 
 
 def bootstrap(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -193,14 +252,17 @@ def _annotated(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFr
     found = mentions.where("not seed").join(good, ["kind", "pattern"])
     order = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     spans = found.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), order[F.col("kind")].alias("ord"), "end", "kind"))).alias("spans"))
-    state = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("end"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
         keep = (x["start"] >= s["end"]) | (x["start"] == s["start"]) & (x["end"] == s["end"])
-        one = F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind"))
-        return F.when(keep, F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(s["out"], F.array(one)).alias("out"))).otherwise(s)
+        return F.when(keep, F.struct(x["start"].alias("start"), x["end"].alias("end"))).otherwise(s), F.filter(F.array(F.when(keep, x["i"]).otherwise(-1)), lambda i: i >= 0)
+
+    def chosen(all_: Column) -> Column:
+        places = F.transform(all_, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i")))
+        kept = scan(places, F.struct(F.lit(-1).alias("start"), F.lit(0).alias("end")), step, "int")
+        return F.transform(kept, lambda i: F.struct(F.get(all_, i)["start"].alias("start"), F.get(all_, i)["ord"].alias("ord"), F.get(all_, i)["end"].alias("end"), F.get(all_, i)["kind"].alias("kind")))
 
-    extra = spans.select("rid", F.aggregate("spans", state, step)["out"].alias("extra"))
+    extra = spans.select("rid", let(F.col("spans"), chosen).alias("extra"))
     return rows, extra
 
 
@@ -222,15 +284,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     joined = rows.join(extra, "rid", "left")
     every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
     text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
-
-    def finish(s: Column) -> Column:
-        return F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, finish)).otherwise(F.col(f"row.`{text_col}`"))
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        # a span that starts within the one before it is covered by that one's mark
+        one = F.struct(s["at"].alias("from"), x["start"].alias("to"), x["i"].alias("i"))
+        fresh = x["start"] >= s["at"]
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at")), F.when(fresh, F.array(one)).otherwise(F.expr(f"cast(array() as array<{CUT}>)"))
+
+    def cut(pages: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PAGE).cast("int")
+        near = F.array_join(F.slice(pages, first + 1, F.floor((b + PAGE - 1) / PAGE).cast("int") - first), "")
+        return F.when(a < b, F.substring(near, a - first * PAGE + 1, b - a)).otherwise("")
+
+    def written_over(spans: Column, pages: Column) -> Column:
+        places = F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i")))
+        parts = scan(places, F.struct(F.lit(0).alias("at")), step, CUT)
+        kept = F.transform(parts, lambda x: F.concat(cut(pages, x["from"], x["to"]), F.lit("<"), F.upper(F.get(spans, x["i"])["kind"]), F.lit(">")))
+        return F.concat(F.array_join(kept, ""), cut(pages, F.array_max(F.transform(spans, lambda x: x["end"])), F.length(text)))
+
+    pages = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))
+    clean = F.when(F.size("spans") > 0, let(pages, lambda p: written_over(F.col("spans"), p))).otherwise(F.col(f"row.`{text_col}`"))
     joined = joined.select("row", "text", every.alias("spans"))
     return joined.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

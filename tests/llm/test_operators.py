@@ -158,6 +158,68 @@ def test_bootstrap_finds_identifiers_with_blanks(spark):
     assert out[len(seeds) + 6] == "in room 12 3456 789 0" and out[len(seeds) + 7] == "12 34"
 
 
+def test_contexts_reach_over_long_words_and_other_numbers(spark):
+    long = "w" * 300
+    seeds = [f"see {long} {long}: +1 555 010 {1000 + i}" for i in range(6)]
+    docs = documents(spark, [*seeds, f"and {long} {long}: 555-010-7777", f"{long} other: 555-010-7777"])
+    got = {r["doc_id"]: r["spans"] for r in pii.annotate(docs).collect()}
+    assert got[6] == f"phone:{4 + 300 + 1 + 302}:{4 + 300 + 1 + 302 + 12}" and got[7] == ""
+    words = spark.createDataFrame([("a 1 bb 22, c@d.e (3) f 4",)], "t string").select(F.explode(pii.matches(F.col("t"), pii.TOKEN, context=True)).alias("x")).select("x.*").collect()
+    assert [(r["m"], r["before"], r["after"]) for r in words] == [("1", "a ", " bb"), ("22,", "1 bb ", " c@d.e"), ("c@d.e", "bb 22, ", " (3)"), ("(3)", "22, c@d.e ", " f"), ("4", "(3) f ", "")]
+
+
+def test_texts_of_very_many_numbers(spark):
+    """Work grows with the text: 20,000 separate addresses and as many other numbers."""
+    text = " ".join(f"{i % 256}.0.{i // 256 % 256}.7 n{i}" for i in range(20_000))
+    docs = documents(spark, [text, "1 " * 20_000, None])
+    got = {r["doc_id"]: r for r in pii.annotate(docs).collect()}
+    assert got[0]["n_ip"] == 20_000 and got[0]["base_sha256"] == hashlib.sha256(",".join(f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"\b[0-9]+(\.[0-9]+){3}", text)).encode()).hexdigest()
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert out[0] == " ".join(f"<IP> n{i}" for i in range(20_000)) and out[1] == "1 " * 20_000 and out[2] is None
+
+
+def test_redaction_equals_plain_replacement(spark):
+    rng = random.Random(14)
+    parts = ["a@b.cd", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 010-9999", "é", " and ", "\n", "word ", "x" * 1500]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(60)]
+    docs = documents(spark, texts)
+    spans = {r["doc_id"]: r["spans"] for r in pii.annotate(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        at, want = 0, ""
+        for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans[i].split(",") if x)), key=lambda x: (x[1], pii.KINDS.index(x[0]))):
+            if a >= at:
+                want += text[at:a] + f"<{kind.upper()}>"
+            at = max(at, b)
+        assert out[i] == want + text[at:]
+
+
+def test_bootstrap_equals_plain_scoring(spark):
+    """The rounds of pattern and instance scores against a plain loop over one graph."""
+    from quillspark.llm.common import Scratch
+
+    rng = random.Random(15)
+    rows = [(f"p{rng.randrange(12)}", f"i{rng.randrange(40)}", rng.choice(["phone", "card"])) for _ in range(600)]
+    seeds = {(k, i): rng.random() < 0.7 for _, i, k in rows}
+    edges = {(k, p, i) for p, i, k in rows}
+    trust = {x: float(v) for x, v in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        conf = {}
+        for k, p in {(k, p) for k, p, _ in edges}:
+            t = [trust[k, i] for k2, p2, i in edges if (k2, p2) == (k, p)]
+            if sum(x >= 0.5 for x in t) >= pii.SUPPORT and sum(t) / len(t) >= pii.CONFIDENCE:
+                conf[k, p] = sum(t) / len(t)
+        for x in trust:
+            doubt = 1.0
+            for k, p, i in edges:
+                if (k, i) == x and (k, p) in conf:
+                    doubt *= max(1 - conf[k, p], 1e-6)
+            trust[x] = max(float(seeds[x]), 1 - doubt)
+    df = spark.createDataFrame([(p, i, k, seeds[k, i]) for p, i, k in rows], "pattern string, instance string, kind string, seed boolean")
+    got = {(r["kind"], r["pattern"]): round(r["conf"], 9) for r in pii.bootstrap(df, Scratch(spark, "test")).collect()}
+    assert got == {x: round(c, 9) for x, c in conf.items()} and got
+
+
 # Toxicity
 
 
