@@ -10,9 +10,10 @@ of blocks is compared by one matrix product. Equal vectors are one class through
 block pair returns how many vectors each one is linked to, and a spanning forest of its
 links, so a large group never leaves pair by pair.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or hold
-null or non-finite components, and those without a label, have no links and are their own
-component; equal cosines need no tie rule; repeated rows with one id count as copies of
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components, and those without a label, have no links and are their own component; vectors
+link with those of their own length only, and those of other lengths than the commonest
+form one cell for each label and length; equal cosines need no tie rule; repeated rows with one id count as copies of
 one another; columns other than id, vector and label are ignored, whatever their names.
 """
 
@@ -130,10 +131,15 @@ def _linked(spark, scratch: Scratch, classes: DataFrame, n: int, threshold: floa
     def place(frames):
         for pdf in frames:
             if len(pdf):
-                x = unit(np.array(pdf["v"].tolist(), float))
-                yield pd.DataFrame({"label": pdf["label"], "cell": (x @ center.T).argmax(axis=1).astype("int32"), "cls": pdf["cls"], "u": list(x), "copies": pdf["copies"]})
-
-    placed = classes.where(F.size("v") == dim).mapInPandas(place, "label string, cell int, cls string, u array<double>, copies bigint")
+                for n, some in pdf.groupby(pdf["v"].map(len)):
+                    x = unit(np.array(some["v"].tolist(), float))
+                    usual = n == dim
+                    cell = (x @ center.T).argmax(axis=1) if usual else np.zeros(len(x))
+                    yield pd.DataFrame({"label": some["label"] if usual else f"{n}|" + some["label"], "cell": cell.astype("int32"), "cls": some["cls"], "u": list(x), "copies": some["copies"]})
+
+    # a label is led by 0 for the commonest length, which no vector has, else by its own
+    classes = classes.withColumn("label", F.when(F.size("v") == dim, F.concat(F.lit("0|"), "label")).otherwise(F.col("label")))
+    placed = classes.mapInPandas(place, "label string, cell int, cls string, u array<double>, copies bigint")
     placed = scratch.cut(placed, "placed")
     # Blocks: a label's cells in order, cut every BLOCK rows; a cell across a cut is dealt by hash.
     size = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +156,10 @@ def _linked(spark, scratch: Scratch, classes: DataFrame, n: int, threshold: floa
         for pdf in frames:
             if not len(pdf):
                 continue
-            _, may = reachable(np.array(pdf["u"].tolist()), center, threshold)
+            may = np.ones((len(pdf), len(center)), bool)  # a vector of another length meets all blocks of its own
+            usual = np.flatnonzero(pdf["u"].map(len) == dim)
+            if len(usual):
+                _, may[usual] = reachable(np.array(pdf["u"].iloc[usual].tolist()), center, threshold)
             upto = np.concatenate([np.zeros((len(pdf), 1), np.int64), may.cumsum(axis=1)], axis=1)
             to = [np.flatnonzero(c[h + 1] - c[l] > 0).tolist() for c, l, h in zip(upto, pdf["lo"], pdf["hi"])]
             yield pd.DataFrame({"label": pdf["label"], "own": pdf["own"], "to": [sorted({o, *t}) for o, t in zip(pdf["own"].tolist(), to)], "cls": pdf["cls"], "u": pdf["u"], "copies": pdf["copies"]})

@@ -436,6 +436,15 @@ def test_near_vectors_lose_no_link_among_many_cells(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(x))] == least.tolist()
 
 
+def test_near_vectors_of_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 10)
+    rng = np.random.RandomState(17)
+    x = [rng.randn(8).tolist() for _ in range(60)] + [[1.0, 2.0], [2.0, 4.1], [2.0, -1.0], [1.0, 2.0, 0.0], [3.0, 6.0, 0.1], [1.0, 2.0]]
+    labels = [i % 2 for i in range(60)] + [0, 0, 0, 0, 0, 1]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame([(i, v, k, 1, "c") for i, (v, k) in enumerate(zip(x, labels))], EMBEDDINGS)).collect()}
+    assert [got[i] for i in range(60, 66)] == [(1, 60), (1, 60), (0, 62), (1, 63), (1, 63), (0, 65)]
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6])
 def test_top_k_equals_brute_force(spark, scale):
     rng = np.random.RandomState(9)
