@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from typing import Any
 
 import pyarrow as pa
 
@@ -65,6 +67,23 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+_state: tuple[Hashable, Any] | None = None
+
+
+def worker_state(key: Hashable, make: Callable[[], Any] = lambda: None) -> Any:
+    """What a Python worker keeps from task to task: the state of one operator at a time.
+    Workers are reused by all stages, so another operator's state is given back first."""
+    global _state
+    if _state is None or _state[0] != key:
+        _state = None
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _state = key, make()
+    return _state[1]
+
+
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text_col: str = "text") -> DataFrame:
     """The rows whose text a decider keeps, all columns as they were; null texts count as
     empty. `make` is called once in a task. Rows leave in small batches."""

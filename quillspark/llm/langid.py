@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, text_or_empty
+from .common import keep_rows, text_or_empty, worker_state
 
 #: N-grams in a language's profile, and in a document's.
 PROFILE, TOP = 500, 300
@@ -82,6 +82,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """(lang, gram, n): summed within each task before anything is shuffled."""
 
     def run(batches):
+        worker_state("languages")
         sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         waiting: dict[str, list[str]] = {}
         chars: dict[str, int] = {}
@@ -168,6 +169,8 @@ def keep_known(docs: DataFrame, model, text_col: str = "text", least: float = LE
         return docs
 
     def make():
+        worker_state("languages")
+
         def decide(text: str) -> bool:
             lang, score = rank_text(text, langs, keys, ranks, TOP, PROFILE)
             return lang != "und" and score >= least

@@ -20,7 +20,6 @@ other than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, text_or_empty, worker_state
 from .graph import components
 
 #: Positions on the circle.
@@ -37,7 +36,7 @@ CIRCLE = 1 << 20
 #: Chance that a pair right at the threshold meets in no band.
 MISS = 1e-6
 #: Distinct words whose hashes a worker remembers; a full memo starts anew.
-MEMO = 300_000
+MEMO = 200_000
 #: Rows in a block of a bucket, and deviations that a signature's agreement may fall short of the threshold.
 BLOCK, SIGMAS = 256, 5.0
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -96,9 +95,9 @@ class Circulant:
         return sig
 
 
-@lru_cache(maxsize=4)
 def _circulant(size: int) -> Circulant:
-    return Circulant(size)
+    """A worker's table, kept from task to task."""
+    return worker_state(("circulant", size), lambda: Circulant(size))
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, text_or_empty, worker_state
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words remembered by a worker; a full memo starts anew.
-MEMO = 500_000
+MEMO = 300_000
 #: Texts tokenized together.
 TEXTS = 500
 
@@ -182,10 +181,9 @@ class WordTokenizer:
         return [whole[i] if i in whole else b"".join(map(known.__getitem__, parts)) for i, parts in enumerate(cut)]
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """A worker's tokenizer, kept from task to task."""
-    return WordTokenizer(path)
+    return worker_state(("words", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, Scratch, keep_rows, text_or_empty
+from .common import ROWS, Scratch, keep_rows, text_or_empty, worker_state
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 SAMPLE, FEATURES = 20_000, 4096
 #: Characters of words that a worker remembers, an entry's own cost included; a full memo starts anew.
-MEMO = 16_000_000
+MEMO = 12_000_000
 #: Code points counted at once, which bounds a worker's memory.
 STRETCH = 1 << 16
 #: Letters that a symbol may stand for.
@@ -85,6 +85,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     fixed number of kinds in all."""
 
     def run(batches):
+        worker_state("toxicity counts")
         total = np.zeros(CLASSES**3, np.int64)
 
         def count(texts):
@@ -360,15 +361,9 @@ class Scorer:
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
 
 
-_last: tuple[str, Scorer] | None = None
-
-
 def _scorer(learned: Learned) -> Scorer:
     """A worker's scorer, kept from task to task as long as the model is the same."""
-    global _last
-    if _last is None or _last[0] != learned.name:
-        _last = learned.name, Scorer(learned)
-    return _last[1]
+    return worker_state(("toxicity", learned.name), lambda: Scorer(learned))
 
 
 def keep_clean(docs: DataFrame, learned, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
