@@ -33,7 +33,7 @@ from .common import ROWS, Scratch, keep_rows, text_or_empty, worker_state
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 SAMPLE, FEATURES = 20_000, 4096
 #: Characters of words that a worker remembers, an entry's own cost included; a full memo starts anew.
-MEMO = 12_000_000
+MEMO = 8_000_000
 #: Code points counted at once, which bounds a worker's memory.
 STRETCH = 1 << 16
 #: Letters that a symbol may stand for.
@@ -278,13 +278,11 @@ def _features_of(rows: DataFrame, known: Learned) -> DataFrame:
 
     def run(batches):
         channel = _scorer(known).channel
-        channel.memo.clear()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 some = batch.slice(k, ROWS)
                 out = [sorted({f for w in channel.words(text.as_py()) for f in features(w)}) for text in some.column(1)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "f"])
-        channel.memo.clear()
 
     return rows.select("y", "text").mapInArrow(run, "y int, f array<string>")
 
@@ -293,9 +291,12 @@ def _picked(words: DataFrame, pick: dict[str, int]) -> DataFrame:
     """(y, f): each text's picked features as 16-bit numbers in a row."""
 
     def run(batches):
+        worker_state("picked features")
         for batch in batches:
-            out = [np.array(sorted(pick[f] for f in found if f in pick), "<u2").tobytes() for found in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "f"])
+            for k in range(0, batch.num_rows, ROWS):
+                some = batch.slice(k, ROWS)
+                out = [np.array(sorted(pick[f] for f in found.as_py() if f in pick), "<u2").tobytes() for found in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], names=["y", "f"])
 
     return words.select("y", "f").mapInArrow(run, "y int, f binary")
 
