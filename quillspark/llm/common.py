@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -58,6 +59,19 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it, Arrow batches hold at most `rows` rows, on both sides of the pipe. Only for
+    work that ends within, for a plan takes the setting when it runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0))
@@ -76,6 +90,7 @@ def worker_state(key: Hashable, make: Callable[[], Any] = lambda: None) -> Any:
     global _state
     if _state is None or _state[0] != key:
         _state = None
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library
