@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, minhash, packing, pii, toxicity
-from quillspark.llm.common import Scratch, table
+from quillspark.llm.common import Scratch, small_batches, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = scratch.cut(stage(spark, docs, sf_dir), name)
     return docs
