@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, Scratch, keep_rows, text_or_empty, worker_state
+from .common import ROWS, Scratch, keep_rows, small_batches, text_or_empty, worker_state
 
 #: Labelled rows that the model is fitted on, at most, and features that it keeps.
 SAMPLE, FEATURES = 20_000, 4096
@@ -318,6 +318,11 @@ def _fit(y: np.ndarray, at: np.ndarray, row: np.ndarray, n: int, steps: int = 50
 
 def learn(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Learned:
     """The model of texts and labels. `use` selects label rows."""
+    with small_batches(docs.sparkSession):  # all work on rows ends within
+        return _learn(docs, labels, use, id_col, text_col, label_col)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, use: Column | None, id_col: str, text_col: str, label_col: str) -> Learned:
     scratch = Scratch(docs.sparkSession, "toxicity")
     model = log_model(count_trigrams(docs, text_col))
     known = labels.where(use) if use is not None else labels
