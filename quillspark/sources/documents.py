@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import utf8_or_drop
-from ..functions.text import document_type, suffix
+from ..functions.text import document_type, let, suffix
+from ..operators.word import whole_text
+from .docx import docx_items
 
 #: Files that an upload may be.
 ACCEPTED = ("pdf", "docx", "txt", "md", "markdown", "html", "py")
@@ -21,12 +23,18 @@ def accepted(rows: DataFrame, name: str = "name") -> DataFrame:
     return rows.where(F.substring(suffix(F.col(name)), 2, 20).isin(*ACCEPTED))
 
 
+def file_text(content: str, kind: Column) -> Column:
+    """A file's text by its suffix: Word files are unpacked, all else is UTF-8."""
+    word = let(docx_items(F.when(kind == ".docx", F.col(content))), whole_text)
+    return F.coalesce(word, utf8_or_drop(content))
+
+
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(doc_id, name, suffix, doc_type, size_bytes, text) of the text files below a path."""
+    """(doc_id, name, suffix, doc_type, size_bytes, text) of the text and Word files below a path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     rows = describe(files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content", "path"))
-    return rows.select(F.xxhash64("path").alias("doc_id"), "name", "suffix", "doc_type", "size_bytes", utf8_or_drop("content").alias("text"))
+    return rows.select(F.xxhash64("path").alias("doc_id"), "name", "suffix", "doc_type", "size_bytes", file_text("content", F.col("suffix")).alias("text"))
 
 
 def read_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", name: str = ".txt") -> DataFrame:
