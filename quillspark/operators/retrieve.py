@@ -6,7 +6,10 @@ question, as exact search asks; Spark picks the join of their bare keys by size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, is_blank, let, strip, tokenize
@@ -21,9 +24,10 @@ ASKS_DEFINITION = r"(?i)\b(?:what\s+is|define|definition\s+of|explain)\s+(.+)"
 _WORDS = "[A-Za-z&.,'’/ -]"
 
 
-def searchable_text(text: Column, title: Column | None = None, section: Column | None = None, source_unit: Column | None = None, page: Column | None = None, rows: Column | None = None) -> Column:
-    about = F.concat_ws(" ", *[c.cast("string") for c in (title, section, source_unit, page) if c is not None]) if any(c is not None for c in (title, section, source_unit, page)) else F.lit("")
-    cells = F.coalesce(F.array_join(F.transform(rows, lambda r: F.array_join(r, " ")), " "), F.lit("")) if rows is not None else F.lit("")
+def searchable_text(text: Column, source_unit: Column | None = None, title: Column | None = None, section: Column | None = None, page: Column | None = None, rows: Column | None = None) -> Column:
+    """What is known of a chunk, its text, and its table's cells."""
+    about = F.concat_ws(" ", *[c.cast("string") for c in (source_unit, title, section, page) if c is not None])
+    cells = F.lit("") if rows is None else F.coalesce(F.array_join(F.transform(rows, lambda r: F.array_join(r, " ")), " "), F.lit(""))
     return strip(F.concat_ws("\n", about, text, cells))
 
 
@@ -85,17 +89,27 @@ def definition_terms(question: Column) -> Column:
     return tokenize(F.regexp_extract(question, ASKS_DEFINITION, 1))
 
 
-def retrieval_chunks(chunks: DataFrame, by: list[str]) -> DataFrame:
-    """Children with a parent and some text where there are any; else all chunks."""
-    child = (F.col("role") == "child") & F.col("parent_id").isNotNull() & ~is_blank(F.col("text"))
-    flagged = chunks.withColumn("__child", child).withColumn("__any", F.max(child).over(Window.partitionBy(*by)))
-    return flagged.where(F.col("__child") | ~F.col("__any")).drop("__child", "__any")
+def retrieval_chunks(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Children with a parent and some text where an index, named by the columns in `by`, has
+    any; else all its chunks. The flags are aggregated first, so a large index isn't one task."""
+    child = F.coalesce((F.col("role") == "child") & F.col("parent_id").isNotNull() & ~is_blank(F.col("text")), F.lit(False))
+    keys = [F.col(c).alias(f"__{i}") for i, c in enumerate(by or [])]
+    any_child = chunks.groupBy(*keys).agg(F.max(child).alias("__any"))
+    same = F.lit(True)
+    for i, c in enumerate(by or []):
+        same &= F.col(c).eqNullSafe(F.col(f"__{i}"))
+    flagged = chunks.join(any_child, same, "left") if by else chunks.crossJoin(any_child)  # one row
+    return flagged.where(child | ~F.coalesce("__any", F.lit(False))).select(*chunks.columns)
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_key", text: str = "text", order: str | None = None) -> DataFrame:
-    """(key, ord, text, tokens) of the chunks that have text."""
+    """(key, ord, text, tokens) of the chunks that have text. Where chunks have source_unit,
+    title, section, page or rows, these are searched as well."""
+    about = {c: F.col(c) for c in ("source_unit", "title", "section", "page", "rows") if c in chunks.columns}
     rows = chunks.where(~is_blank(F.col(text)))
-    return rows.select(F.col(key).alias("key"), F.col(order or key).alias("ord"), F.col(text).alias("text"), tokenize(F.col(text)).alias("tokens"))
+    searched = searchable_text(F.col(text), **about) if about else F.col(text)
+    rows = rows.select(F.col(key).alias("key"), F.col(order or key).alias("ord"), searched.alias("text"))
+    return rows.select("*", tokenize(F.col("text")).alias("tokens"))
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -183,3 +197,29 @@ def merged_search(questions: DataFrame, index: DataFrame, k: int = 5) -> DataFra
     both = both.select("query_id", "key", final.alias("score"), "h_rank", "v_rank", F.when(F.col("h_rank").isNull(), "vector").otherwise("hybrid").alias("index"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("h_rank"), "v_rank")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class Retrieved(NamedTuple):
+    results: list[Row]
+    latency_ms: float
+
+
+class Retriever:
+    """An index of chunks, and the answers to questions from it."""
+
+    def __init__(self, chunks: DataFrame, key: str = "chunk_key", order: str | None = None):
+        self.chunks, self.key = chunks, key
+        roles = {"role", "parent_id"} <= set(chunks.columns)
+        self.index = build_index(retrieval_chunks(chunks) if roles else chunks, key, order=order)
+
+    def search(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """(query_id, rank, score, signals and the chunk's columns), k rows at most a question."""
+        found = merged_search(questions, self.index, k).select("query_id", "rank", "score", F.col("index").alias("found_by"), F.col("key").alias("__key"))
+        return found.join(self.chunks, F.col("__key") == F.col(self.key)).drop("__key")
+
+    def retrieve(self, question: str, k: int = 5) -> Retrieved:
+        """The k best chunks for one question, and how long that took."""
+        begun = time.perf_counter()
+        asked = self.chunks.sparkSession.createDataFrame([(0, question)], "query_id long, question string")
+        rows = self.search(asked, k).drop("query_id").orderBy("rank").collect()  # k rows
+        return Retrieved(rows, (time.perf_counter() - begun) * 1000)

@@ -136,6 +136,24 @@ def test_search(spark):
     assert sorted(r["rank"] for r in merged if r["query_id"] == 1) == [1, 2]
 
 
+def test_index_has_titles_pages_and_cells_and_prefers_children(spark):
+    kind = "chunk_key long, text string, role string, parent_id string, source_unit string, title string, section int, page int, rows array<array<string>>"
+    rows = [
+        (1, "plain body", "child", "p", "section-1", "Zebra habits", 1, 7, None),
+        (2, "a table", "child", "p", "table-1", None, None, None, [["okapi", None], ["x", "y"]]),
+        (3, "zebra okapi", "parent", None, None, None, None, None, None),
+        (4, " ", "child", "p", None, None, None, None, None),
+    ]
+    chunks = spark.createDataFrame(rows, kind)
+    index = {r["key"]: r["text"] for r in R.build_index(chunks).collect()}
+    assert index == {1: "section-1 Zebra habits 1 7\nplain body", 2: "table-1\na table\nokapi x y", 3: "zebra okapi"}
+    key = lambda df: sorted(r["chunk_key"] for r in df.collect())
+    assert key(R.retrieval_chunks(chunks)) == [1, 2] and key(R.retrieval_chunks(chunks, ["page"])) == [1, 2]
+    assert key(R.retrieval_chunks(chunks.where("chunk_key > 2"))) == [3, 4]
+    got = R.Retriever(chunks).retrieve("okapi", 1)
+    assert [(r["chunk_key"], r["rank"]) for r in got.results] == [(2, 1)] and got.latency_ms > 0
+
+
 def test_answers(spark):
     none = F.lit(None)
     chunks = spark.createDataFrame([("c1", "The reactor is cooled by water. Its walls are steel."), ("c2", "Gardens need light.")], "chunk_id string, text string")
