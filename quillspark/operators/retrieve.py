@@ -1,22 +1,24 @@
 """Index and hybrid retrieval: hashing vectors, BM25, lexical overlap and intent, fused and ranked.
 
-Questions are a DataFrame. Terms and vector places meet in equi-joins on postings, summed by
-pair; frequencies are counted for the questions' terms only. Every chunk has a score for every
-question, as exact search asks; Spark picks the join of their bare keys by size."""
+Questions are a DataFrame. Single signals meet in equi-joins on postings, summed by pair. Whole
+scores are worked out where the chunks are (`scoring`), for every chunk and question, as exact
+search asks; of these only the best of each task leave it. Frequencies are counted for the
+questions' terms only."""
 
 from __future__ import annotations
 
 import time
+from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import all_tokens, is_blank, let, strip, tokenize
-
-#: Length of a hashing vector; BM25's constants; weights of the signals.
-DIM, K1, B = 384, 1.5, 0.75
-WEIGHTS = {"vector": 0.65, "bm25": 0.20, "lexical": 0.10, "intent": 0.08}
+from . import scoring
+from .scoring import DIM, K1, B
 
 # Expressions that ask for an acronym's meaning, and for a definition.
 ASKS_ACRONYM = r"(?i)\b(full\s*form|stands?\s+for|meaning\s+of)\b"
@@ -76,12 +78,15 @@ def has_acronym_expansion(text: Column, acronym: Column) -> Column:
     return F.regexp_like(text, before) | F.regexp_like(text, after)
 
 
-def acronym_boost(question: Column, text: Column) -> Column:
-    def boost(a: Column) -> Column:
-        known = F.exists(a, lambda x: has_acronym_expansion(text, x))
-        return F.when(known, 2.0).when(F.exists(a, lambda x: F.regexp_like(text, F.concat(F.lit(r"\b"), x, F.lit(r"\b")))), 0.05).otherwise(0.0)
+def acronym_worth(text: Column, acronym: Column) -> Column:
+    """What a text is worth to a question for one acronym's meaning."""
+    return F.when(has_acronym_expansion(text, acronym), 2.0).when(F.regexp_like(text, F.concat(F.lit(r"\b"), acronym, F.lit(r"\b"))), 0.05).otherwise(0.0)
 
-    return F.when(question.rlike(ASKS_ACRONYM), let(acronyms(question), boost)).otherwise(0.0)
+
+def acronym_boost(question: Column, text: Column) -> Column:
+    """The worth of the best acronym; for single pairs, `score` works it out for many."""
+    best = F.coalesce(F.array_max(F.transform(acronyms(question), lambda a: acronym_worth(text, a))), F.lit(0.0))
+    return F.when(question.rlike(ASKS_ACRONYM), best).otherwise(0.0)
 
 
 def definition_terms(question: Column) -> Column:
@@ -145,34 +150,63 @@ def term_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
     ).withColumn("bm25", F.when(F.col("raw") > 0, F.col("raw") / (F.col("raw") + 3.0)).otherwise(0.0)).drop("raw")
 
 
+def _asked(questions: DataFrame) -> tuple[pa.Array, list[scoring.Question]]:
+    """The questions, on the driver: ids, and what scores need of them."""
+    q, none = F.coalesce("question", F.lit("")), F.array().cast("array<string>")
+    got = questions.select("query_id", all_tokens(q), tokenize(q), definition_terms(q), F.when(q.rlike(ASKS_ACRONYM), acronyms(q)).otherwise(none)).toArrow()
+    ids = got.column(0).combine_chunks()
+    return ids, [scoring.Question(*row) for row in zip(range(len(ids)), *[c.to_pylist() for c in got.columns[1:]])]
+
+
+def _corpus(questions: list[scoring.Question], rows: DataFrame) -> scoring.Corpus:
+    """Frequencies of the questions' terms in rows (text)."""
+    terms = {t: i for i, t in enumerate(dict.fromkeys(t for q in questions for t in q.tokens))}
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches):
+        n, total, df = scoring.frequencies((b.column(0) for b in batches), shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *range(len(df))]), pa.array([n, total, *df.tolist()])], names=["term", "n"])
+
+    counts = rows.mapInArrow(count, "term bigint, n bigint").where("n > 0").groupBy("term").agg(F.sum("n"))
+    found = dict(map(tuple, counts.collect()))  # no more rows than terms
+    n = found.get(-2, 0)
+    return scoring.Corpus(n, found.get(-1, 0) / max(1, n), {t: found[i] for t, i in terms.items() if i in found})
+
+
+#: Kinds of `ord` that Python orders as Spark does.
+_ORDERED = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
+
+
+def _scored(questions: DataFrame, index: DataFrame, keep: dict[str, int] | None = None) -> DataFrame:
+    """(query_id, key, ord, vector, bm25, lexical, intent, score) of every question and chunk. With
+    `keep` at least the so many best of each question by each signal named, and few more."""
+    if not isinstance(index.schema["ord"].dataType, _ORDERED):
+        keep = None
+    ids, asked = _asked(questions)
+    corpus = _corpus(asked, index.select(F.lower("text").alias("text"))) if asked else None
+    kinds = [T.StructField(c, d.schema[c].dataType) for c, d in (("query_id", questions), ("key", index), ("ord", index))]
+    schema = T.StructType(kinds + [T.StructField(c, T.DoubleType()) for c in scoring.SIGNALS])
+
+    def one(some: list[scoring.Question]) -> DataFrame:
+        words = list(dict.fromkeys(a for q in some for a in q.acronyms))
+        boosts = F.transform(F.lit(words), lambda a: acronym_worth(F.col("text"), a)) if words else F.array().cast("array<double>")
+        terms = {t for q in some for t in q.tokens}
+        mine = scoring.Corpus(corpus.n, corpus.avg_len, {t: n for t, n in corpus.df.items() if t in terms})
+        shared = index.sparkSession.sparkContext.broadcast((some, mine, words, ids.slice(some[0].id, len(some))))
+
+        def run(batches):
+            some, mine, words, ids = shared.value
+            return scoring.search(batches, scoring.Scorer(some, mine, words), ids, keep)
+
+        return index.select("key", "ord", F.lower("text").alias("lower"), boosts.alias("boosts")).mapInArrow(run, schema)
+
+    found = [one(some) for some in scoring.passes(asked)]
+    return reduce(DataFrame.unionAll, found) if found else index.sparkSession.createDataFrame([], schema)
+
+
 def score(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """Every question with every chunk: (query_id, key, ord, vector, bm25, lexical, intent, score).
-    Only pairs that hold all of a question's terms, or meet a question for an acronym, need the text itself."""
-    q = questions.select("query_id", "question", tokenize(F.col("question")).alias("q"), definition_terms(F.col("question")).alias("s"))
-    q = q.select("*", F.size(F.array_distinct("q")).alias("nq"), F.size(F.array_distinct("s")).alias("ns"), F.col("question").rlike(ASKS_ACRONYM).alias("asks"))
-    pairs = index.select("key", "ord", F.get("tokens", F.lit(0)).alias("head"), F.size("tokens").alias("nt")).crossJoin(q)
-    pairs = pairs.join(term_scores(questions, index), ["query_id", "key"], "left").join(vector_scores(questions, index), ["query_id", "key"], "left")
-    pairs = pairs.fillna(0, ["overlap", "present", "subject"]).fillna(0.0, ["bm25", "vector"])
-    full, subject = (F.col("nq") > 0) & (F.col("present") == F.col("nq")), (F.col("ns") > 0) & (F.col("subject") == F.col("ns"))
-    wanted = pairs.where(full | subject | F.col("asks")).select("query_id", "key", "question", "q", "s", full.alias("full"), subject.alias("subj"))
-    joined = F.array_join("tokens", " ")
-    closer = wanted.join(index.select("key", "text", "tokens"), "key").select(
-        "query_id", "key",
-        F.when(F.col("full") & F.contains(joined, F.array_join("q", " ")), 0.35).otherwise(0.0).alias("phrase"),
-        F.when(F.col("subj") & F.contains(joined, F.array_join("s", " ")), 0.5).otherwise(0.0).alias("defined"),
-        acronym_boost(F.col("question"), F.col("text")).alias("acronym"),
-    )
-    pairs = pairs.join(closer, ["query_id", "key"], "left").fillna(0.0, ["phrase", "defined", "acronym"])
-    some = (F.size("q") > 0) & (F.col("nt") > 0)
-    title = F.when(F.startswith("head", F.get("q", F.lit(0))), 0.15).otherwise(0.0)
-    lexical = F.when(some, F.least(F.lit(1.0), F.col("overlap").cast("double") / F.size("q") + F.col("phrase") + title)).otherwise(0.0)
-    coverage = F.col("present").cast("double") / F.greatest(F.lit(1), F.col("nq"))
-    window = (F.col("hi") - F.col("lo") + 1).cast("double")
-    near = F.when((F.size("q") >= 2) & (F.col("nt") > 0) & (F.col("present") > 0) & (coverage >= 0.5), F.least(F.lit(0.4), coverage * (F.col("present") / window))).otherwise(0.0)
-    about = F.when(F.col("defined") > 0, F.col("defined")).when((F.col("ns") > 0) & (F.col("subject").cast("double") / F.greatest(F.lit(1), F.col("ns")) >= 0.75), 0.25).otherwise(0.0)
-    out = pairs.select("query_id", "key", "ord", "vector", "bm25", lexical.alias("lexical"), F.least(F.lit(0.35), F.col("acronym") + about + near).alias("intent"))
-    total = F.lit(WEIGHTS["vector"]) * F.col("vector") + F.lit(WEIGHTS["bm25"]) * F.col("bm25") + F.lit(WEIGHTS["lexical"]) * F.col("lexical") + F.lit(WEIGHTS["intent"]) * F.col("intent")
-    return out.withColumn("score", total)
+    """Every question with every chunk: (query_id, key, ord, vector, bm25, lexical, intent, score)."""
+    return _scored(questions, index)
 
 
 def top(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -182,7 +216,7 @@ def top(scored: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def hybrid_search(questions: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
-    return top(score(questions, index), "score", k)
+    return top(_scored(questions, index, {"score": k}), "score", k)
 
 
 def merged_search(questions: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:

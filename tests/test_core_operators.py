@@ -1,5 +1,6 @@
 """Cases worked out by hand for the operators that keep the reference's habits."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from quillspark.operators import extract as X
 from quillspark.operators import layout as L
 from quillspark.operators import metrics as M
 from quillspark.operators import retrieve as R
+from quillspark.operators import scoring
 from quillspark.operators import tables as TB
 from quillspark.plans import registry
 
@@ -136,6 +138,47 @@ def test_search(spark):
     assert sorted(r["rank"] for r in merged if r["query_id"] == 1) == [1, 2]
 
 
+def many_chunks(spark, n=400):
+    """Chunks with copies, over several tasks, and questions of all kinds."""
+    rng, words = random.Random(7), [f"w{i}" for i in range(60)] + ["vector", "format", "the", "PNG", "Größe"]
+    said = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(n // 2)]
+    said = said + said[::-1] + [" ", "--", "Portable Network Graphics (PNG)"]
+    asked = ["what is vector format", "w1 w2 w2 w3", "the of", None, "stands for PNG", "define w4 w5", "unknownword"] + [" ".join(rng.choices(words, k=12)) for _ in range(5)]
+    chunks = spark.createDataFrame(list(enumerate(said)), "chunk_key long, text string").repartition(5)
+    return spark.createDataFrame(list(enumerate(asked)), "query_id int, question string"), R.build_index(chunks)
+
+
+def test_search_sends_only_the_best_of_each_task(spark):
+    qs, index = many_chunks(spark)
+    for found in (R.hybrid_search(qs, index, 3),):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
+    kept = R._scored(qs, index, {"score": 3})
+    assert kept.count() <= 12 * 3 * index.rdd.getNumPartitions() < R.score(qs, index).count()
+
+
+def test_search_finds_what_all_scores_say(spark, monkeypatch):
+    qs, index = many_chunks(spark)
+    every = R.score(qs, index).cache()
+    assert every.count() == 12 * 402
+    monkeypatch.setattr(scoring, "QUESTIONS", 5)  # three passes
+    place = lambda df: {(r["query_id"], r["rank"]): (r["key"], r["score"]) for r in df.collect()}
+    assert place(R.hybrid_search(qs, index, 7)) == place(R.top(every, "score", 7))
+
+
+def test_scores_are_the_single_signals(spark):
+    qs, index = many_chunks(spark, 60)
+    pairs = R.score(qs, index).join(index.select("key", "text", "tokens"), "key").join(qs, "query_id")
+    pairs = pairs.join(R.term_scores(qs, index).select("query_id", "key", F.col("bm25").alias("b")), ["query_id", "key"], "left")
+    pairs = pairs.join(R.vector_scores(qs, index).select("query_id", "key", F.col("vector").alias("v")), ["query_id", "key"], "left").fillna(0.0, ["b", "v"])
+    lex = F.coalesce(R.lexical_similarity(T.tokenize(F.coalesce("question", F.lit(""))), F.col("tokens")), F.lit(0.0))
+    rows = pairs.select("query_id", "vector", "v", "bm25", "b", "lexical", lex.alias("l"), "intent", R.acronym_boost(F.col("question"), F.col("text")).alias("a")).collect()
+    assert len(rows) == 12 * 62
+    for r in rows:
+        assert r["vector"] == r["v"] and abs(r["bm25"] - r["b"]) < 1e-12 and abs(r["lexical"] - r["l"]) < 1e-12
+        assert r["intent"] >= min(0.35, r["a"] or 0.0)
+
+
 def test_index_has_titles_pages_and_cells_and_prefers_children(spark):
     kind = "chunk_key long, text string, role string, parent_id string, source_unit string, title string, section int, page int, rows array<array<string>>"
     rows = [
