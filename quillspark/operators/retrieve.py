@@ -222,12 +222,11 @@ def hybrid_search(questions: DataFrame, index: DataFrame, k: int = 5) -> DataFra
 def merged_search(questions: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     """Vector and hybrid candidates, five times k of each, joined: a hybrid hit gains by its
     vector rank, a hit by vector alone comes in with its plain cosine."""
-    scored = score(questions, index)
     many = max(5 * k, k)
-    vec = top(scored, "vector", many).select("query_id", "key", F.col("ord").alias("v_ord"), F.col("vector").alias("v_score"), F.col("rank").alias("v_rank"))
-    hyb = top(scored, "score", many).select("query_id", "key", "ord", "score", F.col("rank").alias("h_rank"))
-    both = hyb.join(vec, ["query_id", "key"], "full_outer")
-    final = F.when(F.col("h_rank").isNull(), F.col("v_score")).otherwise(F.col("score") + F.when(F.col("v_rank").isNotNull(), 0.05 / F.greatest(F.lit(1), F.col("v_rank"))).otherwise(0.0))
+    rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "ord"))
+    ranked = _scored(questions, index, {"vector": many, "score": many}).select("*", rank("score").alias("h_rank"), rank("vector").alias("v_rank"))
+    both = ranked.where((F.col("h_rank") <= many) | (F.col("v_rank") <= many)).withColumns({r: F.when(F.col(r) <= many, F.col(r)) for r in ("h_rank", "v_rank")})
+    final = F.when(F.col("h_rank").isNull(), F.col("vector")).otherwise(F.col("score") + F.when(F.col("v_rank").isNotNull(), 0.05 / F.greatest(F.lit(1), F.col("v_rank"))).otherwise(0.0))
     both = both.select("query_id", "key", final.alias("score"), "h_rank", "v_rank", F.when(F.col("h_rank").isNull(), "vector").otherwise("hybrid").alias("index"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("h_rank"), "v_rank")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -150,7 +150,7 @@ def many_chunks(spark, n=400):
 
 def test_search_sends_only_the_best_of_each_task(spark):
     qs, index = many_chunks(spark)
-    for found in (R.hybrid_search(qs, index, 3),):
+    for found in (R.hybrid_search(qs, index, 3), R.merged_search(qs, index, 3)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "MapInArrow" in plan
     kept = R._scored(qs, index, {"score": 3})
@@ -164,6 +164,12 @@ def test_search_finds_what_all_scores_say(spark, monkeypatch):
     monkeypatch.setattr(scoring, "QUESTIONS", 5)  # three passes
     place = lambda df: {(r["query_id"], r["rank"]): (r["key"], r["score"]) for r in df.collect()}
     assert place(R.hybrid_search(qs, index, 7)) == place(R.top(every, "score", 7))
+    v, h = ({(r["query_id"], r["key"]): r for r in R.top(every, by, 20).collect()} for by in ("vector", "score"))
+    got = R.merged_search(qs, index, 4).collect()
+    for q in range(12):
+        want = {k: h[q, k]["score"] + (0.05 / v[q, k]["rank"] if (q, k) in v else 0) if (q, k) in h else v[q, k]["vector"] for k in range(403) if (q, k) in h or (q, k) in v}
+        order = sorted(want, key=lambda k: (-want[k], h[q, k]["rank"] if (q, k) in h else 99, v[q, k]["rank"] if (q, k) in v else 99))
+        assert [r["key"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == order[:4]
 
 
 def test_scores_are_the_single_signals(spark):
