@@ -3,10 +3,15 @@ cited answer, as expressions over (question, chunk) rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, all_tokens, expanded_terms, important_terms, let, normalize_whitespace, split_sentences, splitlines, strip, words
+from . import scoring
 from .chunk import without_title
 from .metrics import source_label
 from .retrieve import ASKS_ACRONYM, acronyms, hash_dims
@@ -196,18 +201,49 @@ def acronym_answer(question: Column, support: Column) -> Column:
     return F.when(question.rlike(ASKS_ACRONYM), F.coalesce(F.get(found, F.lit(0)), F.lit(""))).otherwise("")
 
 
-def support_terms(chunks: DataFrame) -> DataFrame:
-    """(term, df) over all chunks (text, title, rows): in how many of them a term stands."""
-    t = chunks.select(F.explode(expanded_terms(support_text(F.col("text"), F.col("title"), F.col("rows")))).alias("term"))
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def _labelled(text: Column) -> Column:
+    """Whether `clean_line` may take more from a text than marks and white space."""
+    return let(F.lower(text), lambda t: reduce(or_, [F.contains(t, F.lit(x)) for x in ("page", "section", "source:", "chunk id:", "score:")]))
+
+
+def support_terms(chunks: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(term, df) over all chunks (text, title, rows): in how many of them a term stands; only
+    of those in `among` (term), if that is given. Lines are cleaned only where this can take terms."""
+    text, title, rows = F.col("text"), F.col("title"), F.col("rows")
+    bare = title.isNull() & rows.isNull() & ~_labelled(text)
+    said = F.when(bare, text).otherwise(support_text(text, title, rows))
+    if among is None:
+        return chunks.select(F.explode(expanded_terms(said)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    names = [r["term"] for r in among.collect()]  # the questions' terms
+    places = {t: i for i, t in enumerate(dict.fromkeys(names + [t + "s" for t in names]))}
+    shared = chunks.sparkSession.sparkContext.broadcast((names, places))
+
+    def count(batches):
+        names, places = shared.value
+        _, _, df = scoring.frequencies((b.column(0) for b in batches), places, singulars=True)
+        found = [t for t in names if df[places[t]]]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([df[places[t]] for t in found], pa.int64())], names=["term", "n"])
+
+    counts = chunks.select(F.lower(F.coalesce(said, F.lit(""))).alias("said")).mapInArrow(count, "term string, n bigint")
+    return counts.groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _variant(t: Column) -> Column:
+    """A term's plural or singular."""
+    return F.when(t.endswith("s") & (F.length(t) > 3), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(F.concat(t, F.lit("s")))
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(term) that `question_terms` looks up: the questions' terms, their plurals and singulars."""
+    t = questions.select(F.explode(important_terms(F.col("question"))).alias("t"))
+    return t.select(F.explode(F.array("t", _variant(F.col("t")))).alias("term")).distinct()
 
 
 def question_terms(questions: DataFrame, df: DataFrame, indexed: int) -> DataFrame:
     """questions with anchor terms (rare ones, else present ones, else all) and whether each
     anchor, or its plural or singular, stands anywhere. `indexed` counts retrieval chunks."""
     q = questions.withColumn("important", important_terms(F.col("question")))
-    variant = lambda t: F.when(t.endswith("s") & (F.length(t) > 3), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(F.concat(t, F.lit("s")))
-    each = q.select("query_id", F.explode("important").alias("t")).withColumn("v", variant(F.col("t")))
+    each = q.select("query_id", F.explode("important").alias("t")).withColumn("v", _variant(F.col("t")))
     d1, d2 = df.select(F.col("term").alias("t"), F.col("df").alias("n")), df.select(F.col("term").alias("v"), F.col("df").alias("m"))
     each = each.join(d1, "t", "left").join(d2, "v", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sets = each.groupBy("query_id").agg(

@@ -98,8 +98,10 @@ def groups(column: pa.Array, wide: int) -> Iterator[tuple[int, list[str]]]:
         yield begin, texts
 
 
-def frequencies(columns: Iterator[pa.Array], terms: dict[str, int]) -> tuple[int, int, np.ndarray]:
-    """(chunks, tokens that are no stop words, chunks with each term) of a task's texts."""
+def frequencies(columns: Iterator[pa.Array], terms: dict[str, int], singulars: bool = False) -> tuple[int, int, np.ndarray]:
+    """(chunks, tokens that are no stop words, chunks with each term) of a task's texts. With
+    `singulars` a term of three letters or more also stands where its plural in `terms` does."""
+    plural = np.array([terms.get(t + "s", i) if len(t) > 2 else i for t, i in terms.items()], np.int64)
     codes, n, total, df = Codes(terms), 0, 0, np.zeros(len(terms), np.int64)
     for column in columns:
         for _, texts in groups(column, len(terms)):
@@ -109,7 +111,7 @@ def frequencies(columns: Iterator[pa.Array], terms: dict[str, int]) -> tuple[int
             n, total = n + len(texts), total + len(term)
             seen = np.zeros((len(texts), len(terms)), bool)
             seen[at[term >= 0], term[term >= 0]] = True
-            df += seen.sum(0)
+            df += (seen | seen[:, plural] if singulars else seen).sum(0)
     return n, total, df
 
 

@@ -386,8 +386,9 @@ def _document_chunks(spark, sf_dir):
 @query()
 def extractive_answer(spark, sf_dir):
     chunks, questions = _document_chunks(spark, sf_dir), _questions(spark, sf_dir)
-    hits = R.hybrid_search(questions, _index(spark, sf_dir), 3).select("query_id", "rank", "score", F.col("key").alias("doc_id")).join(chunks, "doc_id")
-    df = A.support_terms(chunks)
+    found = R.hybrid_search(questions, _index(spark, sf_dir), 3).select("query_id", "rank", "score", F.col("key").alias("doc_id"))
+    hits = chunks.join(F.broadcast(found), "doc_id")  # three rows a question
+    df = A.support_terms(chunks, A.asked_terms(questions))
     asked = A.question_terms(questions, df, table(spark, sf_dir, "documents").count())
     return A.answers(asked, hits).select("query_id", "answer", "source")
 

@@ -14,6 +14,7 @@ from quillspark.operators import metrics as M
 from quillspark.operators import retrieve as R
 from quillspark.operators import scoring
 from quillspark.operators import tables as TB
+from quillspark.plans import queries as Q
 from quillspark.plans import registry
 
 ODD = ["", " a  b c \x1c", "One. Two!  Three?four", "a\r\nb\x0bc d\n", "été_1 — naïve, (ok)", "x\n\n\ny\n", "…", "A.B. C"]
@@ -215,6 +216,29 @@ def test_answers(spark):
     assert got[2].startswith(A.NO_SUPPORT) and got[3] == A.NOTHING_RETRIEVED
 
 
+def test_support_terms_of_questions(spark):
+    """Counted for the questions' terms alone, they are as counted over all terms."""
+    rows = [
+        (1, "Page: 3 zebras graze\nsource: okapi\nthes lion", None, None), (2, None, "Zebra", None), (3, None, None, None), (4, "section path: lions page: 2 gnus", None, None),
+        (5, "The bus has gas\n* lion; -> zebra", None, [["okapi", None], ["gnu", "x"]]), (6, "ß LIONS lion's", "ss", None), (7, "Score: zebra\nzebras\nabs ab as", "", None), (8, "zebras", None, None),
+    ]
+    chunks = spark.createDataFrame(rows, "doc_id long, text string, title string, rows array<array<string>>").repartition(3)
+    qs = spark.createDataFrame([(1, "zebra okapis graze"), (2, "the lions of gnu bus gas"), (3, "thes ab as unknown"), (4, "")], "query_id long, question string")
+    terms = lambda df: {r["term"]: r["df"] for r in df.collect()}
+    among, plain = {r["term"] for r in A.asked_terms(qs).collect()}, A.support_text(F.col("text"), F.col("title"), F.col("rows"))
+    every = terms(chunks.select(F.explode(T.expanded_terms(plain)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    assert terms(A.support_terms(chunks)) == every
+    got = A.support_terms(chunks, A.asked_terms(qs))
+    assert terms(got) == {t: n for t, n in every.items() if t in among} and "the" in among
+    key = lambda df: {r["query_id"]: (set(r["important"]), set(r["anchors"]), r["unseen"]) for r in df.collect()}
+    assert key(A.question_terms(qs, got, 8)) == key(A.question_terms(qs, A.support_terms(chunks), 8))
+
+
+def test_answers_move_no_texts_but_those_found(spark):
+    plan = Q.extractive_answer(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "collect_list" not in plan and not re.search("Join (Cross|FullOuter)", plan)
+
+
 def test_page_rules(spark):
     box = lambda *v: [F.lit(float(x)) for x in v]
     assert value(spark, L.overlap_ratio(box(0, 0, 10, 10), box(5, 0, 20, 10))) == 0.5
