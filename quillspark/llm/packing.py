@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from .common import Scratch, text_or_empty, worker_state
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words remembered by a worker; a full memo starts anew.
-MEMO = 300_000
+#: Distinct words and parts of words remembered by a worker; a full memo starts anew.
+MEMO = 600_000
 #: Texts tokenized together.
 TEXTS = 500
 
@@ -123,38 +124,40 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.tokens) >= MEMO:
-            self.tokens.clear()
-        tokens, split, todo = self.tokens, [], []
+        known, split, new = self.words, [], {}
         for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                new[w] = None
+                continue
             # other scripts' letters and marks, and apostrophes, may join or change; those words stay whole
             parts = _PARTS.findall(w) if _PLAIN(w) else [w]
-            split.append(parts)
-            for p in parts:
-                if p not in tokens:
-                    tokens[p] = b""
-                    if parts[0] is w and not _ONE(w):
-                        tokens[p] = self._encode(p).tobytes()
-                    else:
-                        todo.append(p)
+            if len(parts) > 1:
+                split.append((w, parts))
+                new.update(dict.fromkeys(filterfalse(known.__contains__, parts)))
+            elif _ONE(w):
+                new[w] = None
+            else:
+                known[w] = self._encode(w).tobytes()
+        todo = list(new)
         for k in range(0, len(todo), 1000):
             some = todo[k : k + 1000]
             ids = self._encode(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some) and stops[-1] == len(ids):
-                for p, part in zip(some, np.split(ids, stops[:-1])):
-                    tokens[p] = part.tobytes()
+                raw, at = ids.tobytes(), 0
+                for p, stop in zip(some, stops):
+                    known[p] = raw[4 * at : 4 * stop]
+                    at = stop
             else:
                 for p in some:
-                    tokens[p] = self._encode(p).tobytes()
-        for w, parts in zip(words, split):
-            self.words[w] = tokens[parts[0]] if len(parts) == 1 else b"".join([tokens[p] for p in parts])
+                    known[p] = self._encode(p).tobytes()
+        for w, parts in split:
+            known[w] = b"".join([known[p] for p in parts])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
@@ -173,9 +176,7 @@ class WordTokenizer:
                 pass
             parts = text.replace("\n", " ").split(" ")
             cut.append(parts)
-            for p in parts:
-                if p not in known:
-                    new[p] = None
+            new.update(dict.fromkeys(filterfalse(known.__contains__, parts)))
         if new:
             self._learn(list(new))
         return [whole[i] if i in whole else b"".join(map(known.__getitem__, parts)) for i, parts in enumerate(cut)]

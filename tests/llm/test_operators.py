@@ -316,6 +316,16 @@ def test_packing_equals_tokenizers(spark, odd_texts):
     assert packing.pack(documents(spark, odd_texts).limit(0), path).count() == 0
 
 
+def test_words_and_their_parts_share_a_memo(monkeypatch):
+    """A part is remembered as the word it may be, and a memo that starts anew gives equal ids."""
+    words = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    texts = ["alpha, beta. Gamma;7 ", "alpha beta  gamma", "ALPHA's été,\nété Ω, Ωx ... a1b2", "", "beta... Alpha, Ω"]
+    plain = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.encode_batch(texts) == plain and {"alpha", ",", "beta", "gamma", "été"} <= set(words.words)
+    monkeypatch.setattr(packing, "MEMO", 3)
+    assert [words.encode_batch([t])[0] for t in texts] == plain
+
+
 # Language
 
 
